@@ -9,8 +9,8 @@ larger set, and a set also enters the next class when a partner there is still w
 
 Inside the blocks, overlap counts are accumulated row against row (hash arrays are sorted), after discarding pairs
 whose sizes alone forbid a link. First each set is multiplied with one neighbour only, the smallest member of the block
-it shares most often, which joins nearly all members of a group of near copies; then only those pairs of a block that
-are still in different components are multiplied. Copies with equal sets are one row throughout, and no pair of theirs
+it shares most often, which joins nearly all members of a group of near copies; then blocks that still hold several
+components are tiled and multiplied, tile by tile, as strips of the incidence matrix. Copies with equal sets are one row throughout, and no pair of theirs
 is ever made.
 
 Defined results: null or empty texts have no n-grams and link with nothing (their component is their own id); shorter
@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,6 +35,8 @@ from huegrid.llm.common import Vocabulary, mix, signed, slices, table, written
 BROADCAST_ROWS = 500_000
 #: Further products with one neighbour in another component, before all pairs that are left are multiplied.
 ROUNDS = 1
+#: Sets of one side of a product.
+TILE = 256
 
 
 def size_classes(limit: int, percent: int, growth: float = 1.4) -> list[int]:
@@ -152,6 +155,70 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray], width: int = 8192) -> np.ndarray:
+    """The product of two blocks of the incidence matrix, summed over strips of ``width`` n-grams that both blocks have."""
+    columns = np.intersect1d(np.concatenate(a), np.concatenate(b))
+    out = np.zeros((len(a), len(b)), np.float32)
+    for part in slices(len(columns), width):
+        strip, block = columns[part], []
+        for sets in (a, b):
+            dense = np.zeros((len(sets), len(strip)), np.float32)
+            for row, members in enumerate(sets):
+                some = members[np.searchsorted(members, strip[0]) : np.searchsorted(members, strip[-1], "right")]
+                at = np.searchsorted(strip, some)
+                dense[row, at[strip[at] == some]] = 1
+            block.append(dense)
+        out += block[0] @ block[1].T
+    return out
+
+
+def _joining(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links between different components in blocks (family, i, j) of rows with node, tile, label and members."""
+    found: list[tuple[int, int]] = []
+    for (_, i, j), block in rows.groupby(["family", "i", "j"], sort=False):
+        root: dict[int, int] = {}
+
+        def top(x: int, root: dict[int, int] = root) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        left = block[block.tile == i]
+        right = left if i == j else block[block.tile == j]
+        sets = [[np.asarray(m, np.int64).view(np.uint64) for m in side.members] for side in (left, right)]
+        n, m = (np.array([len(x) for x in side]) for side in sets)
+        both = _overlaps(*sets)
+        apart = left.label.to_numpy()[:, None] != right.label.to_numpy()[None, :]
+        for x, y in np.argwhere(apart & (100 * both >= percent * (n[:, None] + m[None, :] - both))):
+            p, q = top(left.label.iat[x]), top(right.label.iat[y])
+            if p != q:  # enough links to join the components, not all of them
+                root[p] = q
+                found.append((left.node.iat[x], right.node.iat[y]))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _families(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links that join components which meet in a block. Blocks that overlap form a family, a family is cut into tiles
+    of TILE sets by size, and each pair of tiles whose sizes allow a link is one product in one task."""
+    first = F.min("node").over(W.partitionBy("key"))
+    nodes = open_.groupBy("node").agg(F.first("size").alias("size"), F.first("label").alias("label"))
+    family = components(open_.select(F.col("node").alias("a"), first.alias("b"))).withColumnRenamed("label", "family")
+    nodes = nodes.join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
+    place = F.row_number().over(W.partitionBy("family").orderBy("size", "node")) - 1
+    nodes = written(nodes.withColumn("tile", F.floor(place / TILE).cast("int")), "families")
+    tiles = nodes.groupBy("family", "tile").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    i, j = tiles.select("family", F.col("tile").alias("i"), "high"), tiles.select("family", F.col("tile").alias("j"), "low")
+    pairs = i.join(j, "family").where(f"i <= j AND 100 * high >= {percent} * low").select("family", "i", "j")
+    pairs = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
+    slots = max(1, nodes.count() // 1000)
+    alone = F.max("j").over(W.partitionBy("family")) == 0
+    pairs = pairs.withColumn("slot", F.when(alone, F.pmod(F.xxhash64("family"), F.lit(slots))).otherwise(F.col("family")))
+    rows = nodes.join(pairs, ["family", "tile"]).join(members.withColumnRenamed("set_key", "node"), "node")
+    rows = rows.select("slot", "family", "i", "j", "tile", "node", "label", "members")
+    return rows.groupBy("slot", "i", "j").applyInPandas(lambda x: _joining(x, percent), "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text); see the module's text."""
     if not 50 < percent <= 100:
@@ -199,10 +266,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             continue
         links = links.union(found)
         label = components(links)
-    open_ = open_.select("key", "node", "size", "label")
-    left, right = open_.toDF("key", "a", "size_a", "label_a"), open_.toDF("key", "b", "size_b", "label_b")
-    rest = left.join(right, "key").where("label_a < label_b").where(fits).select("a", "b").distinct()
-    more = written(product(rest), "links")
+    more = written(_families(open_.select("key", "node", "size", "label"), members, percent), "links")
     label = components(links.union(more))
     named = sets.select("doc_id", "n_shingles", "set_key").join(label, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_key"))
     grouped = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
