@@ -2,10 +2,38 @@
 
 from __future__ import annotations
 
+from huegrid.llm.chat import op5_chat_formatting
+from huegrid.llm.media import op6_media_columns
 from huegrid.llm.near_join import op8_ngram_jaccard
+from huegrid.llm.packing import op1_packing
+from huegrid.llm.toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op6_media_columns": op6_media_columns,
+    "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_chat_formatting": r"""
+WITH own AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), marked AS (
+  SELECT *, lag(role, 1, 'start') OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS before,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS after FROM own
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+  sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+  sum(4 + 2 + 8 + length(role) + length(text) + length(text) - length(replace(replace(replace(text, '\', ''), '<', ''), '#', '')))::BIGINT
+    AS formatted_chars,
+  (bool_and((before, role) IN (('start', 'system'), ('start', 'user'), ('system', 'user'), ('user', 'assistant'), ('assistant', 'user')))
+    AND bool_or(after IS NULL AND role IN ('assistant', 'user'))) AS valid
+FROM marked GROUP BY conv_id
+""",
+}
