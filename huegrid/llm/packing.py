@@ -16,11 +16,12 @@ other; an empty table gives no pieces; extra columns are ignored.
 
 from __future__ import annotations
 
-import os
+import json
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -30,39 +31,63 @@ from pyspark.sql import DataFrame
 from huegrid.llm.common import slices, table
 
 SEGMENT = re.compile(" ?[^ ]+")
-#: Spaces beside other white space: there the tokenizer's pieces may cross our cuts, so such texts are encoded whole.
-UNSAFE = re.compile(r" \s|\s |^ | $")
+RARE_SPACE = re.compile(r"[^\S \n]")
 SCHEMA = "doc_id {}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the rest counted up from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids, with the words of a task remembered (the tokenizer never joins across a single space)."""
+    """Texts to little-endian 32-bit ids of a byte-level BPE tokenizer file, with the words of a worker remembered.
 
-    def __init__(self, path: str | None, limit: int = 400_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    The vocabulary is the file's own; its merges stand in the order of their ids, so ids serve as ranks. Pieces never
+    cross a single space, so a text without other white space beside a space is encoded word by word."""
 
-        if path is None:
-            import public_tokenizers
+    def __init__(self, path: str | None, limit: int = 1_000_000):
+        import public_tokenizers
+        import tiktoken
 
-            path = public_tokenizers.path("byte_bpe_50k.json")
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        byte_of, special = _byte_of(), "<|endoftext|>"
+        ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token != special}
+        self.encode_one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    @staticmethod
+    def _splits(text: str) -> bool:
+        return not (text[:1] == " " or text[-1:] == " " or "  " in text or " \n" in text or "\n " in text or RARE_SPACE.search(text))
+
+    def encode(self, text: str) -> bytes:
+        if not self._splits(text):
+            return np.array(self.encode_one(text), "<u4").tobytes()
+        known, words = self.known, SEGMENT.findall(text)
+        try:
+            return b"".join(map(known.__getitem__, words))
+        except KeyError:
+            if len(known) > self.limit:
+                known.clear()
+            for word in words:
+                if word not in known:
+                    ids = self.encode_one(word)
+                    known[word] = pack(f"<{len(ids)}I", *ids)
+            return b"".join(map(known.__getitem__, words))
+
+
+_ENCODERS: dict[str | None, Encoder] = {}
+
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > self.limit:
-            self.known = {}
-        cut = [None if UNSAFE.search(t) else SEGMENT.findall(t) for t in texts]
-        new = list({s for c in cut if c for s in c if s not in self.known})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
-        return [next(whole) if c is None else b"".join(map(get, c)) for c in cut]
+def encoder_of(path: str | None) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -144,10 +169,10 @@ class Packer:
                 self._emit(1 << bit, pieces)
 
 
-def _packed(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smallest: int, step_tokens: int, waiting: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smallest: int, step_tokens: int, waiting: int, end_id: int) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     packer = Packer(size, smallest, step_tokens, waiting, (context.partitionId() if context else 0) << 40)
-    encoder, end, kind = None, np.array([end_id], "<u4").tobytes(), None
+    end, kind = np.array([end_id], "<u4").tobytes(), None
 
     def rows() -> pa.RecordBatch:
         columns = [list(c) for c in zip(*packer.out, strict=True)] or [[]] * 9
@@ -157,27 +182,26 @@ def _packed(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smal
 
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        encoder = encoder or Encoder(path)
+        encode = encoder_of(path).encode
         for part in slices(batch.num_rows, 512):
             some = batch.slice(part.start, part.stop - part.start)
-            encoded = encoder.encode([t or "" for t in some.column("text").to_pylist()])
-            for doc, ids in zip(some.column("doc_id").to_pylist(), encoded, strict=True):
-                packer.add(doc, ids + end)
+            for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                packer.add(doc, encode(text or "") + end)
             yield rows()
     if kind is not None:
         packer.close()
         yield rows()
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, smallest: int = 128, step_tokens: int = 1 << 16, waiting: int = 64, end_id: int = 0) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, smallest: int = 128, step_tokens: int = 1 << 16, waiting: int = 64, end_id: int = 0) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's size), step_group.
 
     ``tokenizer`` is the tokenizer's file on the executors; by default the public byte-level BPE of 50k entries."""
     if size & (size - 1) or smallest & (smallest - 1) or not 1 <= smallest <= size or step_tokens % size:
         raise ValueError("size and smallest are powers of two, and step_tokens is a multiple of size")
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(lambda b: _packed(b, tokenizer, size, smallest, step_tokens, waiting, end_id), SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lambda b: _pieces(b, tokenizer, size, smallest, step_tokens, waiting, end_id), SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
 def op1_packing(spark, sf_dir) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"))
