@@ -92,7 +92,7 @@ def _norms(matrix: np.ndarray) -> np.ndarray:
 def _linear(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     """For each word the highest product of its (normed) feature vector rows with the weights."""
     out = np.full(len(words), -np.inf)
-    for part in slices(len(words), 40_000):
+    for part in slices(len(words), 10_000):
         matrix, owner = word_matrix(words[part])
         total = np.zeros(len(matrix))
         for codes, there, weight in subsequences(matrix):
@@ -113,6 +113,19 @@ def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
+def _close_triples(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of the triples of each word that skip at most one character, and where each word's codes start."""
+    parts, counts = [], np.zeros(len(words) + 1, np.int64)
+    for part in slices(len(words), 20_000):
+        matrix, owner = word_matrix(words[part])
+        near = [(codes, there) for (codes, there, _), (_, j) in zip(subsequences(matrix), OFFSETS, strict=True) if j <= 3]
+        codes = np.concatenate([c for c, _ in near], axis=1)
+        there = np.concatenate([t for _, t in near], axis=1)
+        parts.append(codes[there])  # row by row
+        np.add.at(counts, part.start + owner + 1, there.sum(1))
+    return (np.concatenate(parts) if parts else np.empty(0, np.int32)), np.cumsum(counts)
+
+
 @dataclass
 class Model:
     weights: np.ndarray  # of each character triple
@@ -166,7 +179,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds: int = 5, seed: int = 7) -> Model:
+def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds: int = 4, seed: int = 7) -> Model:
     """Fit on whole texts with labels 0 and 1."""
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
@@ -185,9 +198,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds
     able = (times[1] + 0.5) / n[1] > 4 * (times[0] + 0.5) / n[0]
     clean = np.nonzero((times[0] > 0) & ~able)[0]
     # Where to look first: triples that documents of label 1 have more often.
-    row, code, _ = _features(words)
-    order = np.argsort(row, kind="stable")
-    code, ends = code[order], np.searchsorted(row[order], np.arange(len(words) + 1))
+    code, ends = _close_triples(words)
     seen = np.zeros((2, N_CODES))
     for f, label in zip(flat, y, strict=True):
         have = np.zeros(N_CODES, bool)
@@ -229,7 +240,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds
         root = vector[:, good] / np.sqrt(value[good])  # Nystroem: W^-1/2, without null directions
         rows = np.concatenate([witness, hard])
         k = np.zeros((len(rows), len(marks)), np.float32)
-        for part in slices(len(rows), 2000):
+        for part in slices(len(rows), 400):
             r, c, v = _features([words[i] for i in rows[part]])
             at = np.searchsorted(used, c)
             at[(at == len(used)) | (used[np.minimum(at, len(used) - 1)] != c)] = len(used)
