@@ -3,20 +3,27 @@
 from __future__ import annotations
 
 from huegrid.llm.chat import op5_chat_formatting
+from huegrid.llm.decontamination import op9_benchmark_decontamination
 from huegrid.llm.media import op6_media_columns
 from huegrid.llm.near_join import op8_ngram_jaccard
 from huegrid.llm.packing import op1_packing
+from huegrid.llm.secrets import op10_secret_scan
+from huegrid.llm.spans import op4_substring_dedup
 from huegrid.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_media_columns": op6_media_columns,
     "op7_toxicity": op7_toxicity,
     "op8_ngram_jaccard": op8_ngram_jaccard,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": r"""
 WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
