@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from huegrid.llm.chat import op5_chat_formatting
 from huegrid.llm.decontamination import op9_benchmark_decontamination
+from huegrid.llm.html_text import op2_html_extraction
 from huegrid.llm.media import op6_media_columns
 from huegrid.llm.near_join import op8_ngram_jaccard
 from huegrid.llm.packing import op1_packing
+from huegrid.llm.pitman_yor import op3_lm_scoring
 from huegrid.llm.secrets import op10_secret_scan
 from huegrid.llm.spans import op4_substring_dedup
 from huegrid.llm.toxicity import op7_toxicity
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": op5_chat_formatting,
     "op6_media_columns": op6_media_columns,
@@ -23,6 +27,8 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_html_extraction": op2_html_extraction,
+    "op3_lm_scoring": op3_lm_scoring,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": r"""
 WITH own AS (

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huegrid.llm.common import Vocabulary, doc_bucket, slices, table, words_of
 
@@ -284,7 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, held_out: int
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
-def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+def _scores(batches: Iterator[pa.RecordBatch], model: Model, name: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
     vocabulary, margin = Vocabulary(800_000), np.empty(0)
     for batch in batches:
         for part in slices(batch.num_rows, 1000):
@@ -301,18 +302,19 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.Reco
                     if best[i] > 0:
                         count[i] = len(np.unique(ids[a:b][m > 0]))
             score = model.score(best, count)
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rows.schema.names if c != "text"), pa.array(score, pa.float64())], [*(c for c in rows.schema.names if c != "text"), "score"])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in keep), pa.array(score, pa.float64())], [*keep, name])
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score of every row."""
-    rows = docs.select("doc_id", "text")
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda b: _scores(b, model), f"doc_id {kind}, score double")
+def with_score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of docs (all of them by default) and the score of every row, without a shuffle."""
+    keep = docs.columns if keep is None else keep
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
+    return rows.mapInArrow(lambda b: _scores(b, model, name, keep), schema)
 
 
 def op7_toxicity(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"))
     held = F.coalesce(doc_bucket(5) == 0, F.lit(False))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return with_score(docs, model, keep=["doc_id"]).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
