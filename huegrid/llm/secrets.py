@@ -196,14 +196,19 @@ def weak_label(candidate: str, before: str) -> int:
     return int(bool(NAMED.search(before)) and kinds > 1 and entropy > 2.8)
 
 
+def _weakly_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels = [weak_label(c, b) for c, b in zip(batch.column("candidate").to_pylist(), batch.column("before").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(labels, pa.int32())], [*batch.schema.names, "label"])
+
+
 def weak_findings(docs: DataFrame, sample: int = 2000) -> DataFrame:
     """candidate, before, after, label: findings labelled by their surroundings, at most ``sample`` of each label."""
     found = docs.select("text").where("text IS NOT NULL").mapInArrow(_list_candidates, "candidate string, before string, after string")
     named = F.col("before").rlike("(?i)(?:" + "|".join(NAMES) + r")[\w\-]{0,16}[\"']?\s{0,2}(?:[:=]|=>|:=)\s{0,2}[\"']?$")
     found = found.withColumn("o", F.xxhash64("candidate", "before", "after")).withColumn("named", named)
     some = [found.where(F.col("named") == k).orderBy("o", "candidate", "before", "after").limit(sample) for k in (True, False)]
-    label = F.udf(weak_label, "int")
-    return some[0].union(some[1]).select("candidate", "before", "after", label("candidate", "before").alias("label"))
+    return some[0].union(some[1]).select("candidate", "before", "after").mapInArrow(_weakly_labelled, "candidate string, before string, after string, label int")
 
 
 def train(findings: DataFrame, usual: np.ndarray) -> Forest:
