@@ -362,8 +362,10 @@ def extract(pages: DataFrame, labeller: Labeller | None = None, sample: int = 20
     """page_id, url, text, n_chars of every page; without a labeller, one is trained on the pages' own markup."""
     rows = pages.select("page_id", "url", "html")
     if labeller is None:
-        some = rows.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id", "url").limit(sample).select("html").collect()
-        labeller = train([r.html for r in some])
+        there = rows.where("html IS NOT NULL AND page_id IS NOT NULL")
+        chosen = there.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
+        some = there.join(F.broadcast(chosen), "page_id", "left_semi").dropDuplicates(["page_id"]).select("page_id", "html")  # ``sample`` pages
+        labeller = train([r.html for r in sorted(some.collect(), key=lambda r: r.page_id)])
     kind, url = (rows.schema[c].dataType.simpleString() for c in ("page_id", "url"))
     return rows.mapInArrow(lambda b: _texts(b, labeller), f"page_id {kind}, url {url}, text string, n_chars long")
 
