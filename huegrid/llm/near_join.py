@@ -146,10 +146,10 @@ def components(edges: DataFrame) -> DataFrame:
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").where("b <> m").select("b", "m").union(low).toDF("a", "b").distinct()
         edges = written(small, "edges")
-        # Stars only, each node with one smaller centre: done once no centre has a centre of its own.
-        open_ = edges.select("b").distinct().join(edges.select(F.col("a").alias("b")), "b", "left_semi").count()
-        state = (open_, edges.count())
-        if open_ == 0 or state == total:
+        # Done once there are stars only: each node has one smaller centre, and no centre has a centre of its own.
+        state = edges.agg(F.count(F.lit(1)), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        centres = edges.select(F.col("b").alias("a")).distinct()
+        if state == total or (state[0] == state[1] and edges.join(centres, "a", "left_semi").isEmpty()):
             break
         total = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))

@@ -429,6 +429,17 @@ def test_blocking_loses_no_linkable_pair():
                 assert np.intersect1d(near_join.block_keys(a, 90), near_join.block_keys(b, 90)).size
 
 
+def test_components_of_chains_and_stars(spark):
+    random = np.random.default_rng(9)
+    names = random.permutation(400)
+    edges = [(int(names[i]), int(names[i + 1])) for i in range(150)] + [(int(names[200]), int(names[i])) for i in range(201, 260)] + [(7000, 7000)]
+    got = {r.node: r.label for r in near_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    chain, star = min(names[:151]), min(names[200:260])
+    want = {int(n): int(chain) for n in names[:151] if n != chain} | {int(n): int(star) for n in names[200:260] if n != star}
+    assert got == want
+    assert near_join.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_join_of_odd_rows(odd, empty):
     rows = near_join.jaccard_groups(odd).collect()
     assert len(rows) == odd.count() and near_join.jaccard_groups(empty).count() == 0
