@@ -1,15 +1,17 @@
 """Benchmark decontamination: latent semantic retrieval of benchmark items in documents, then exact checks.
 
 1. Document frequencies of hashed words (``BUCKETS``) over all documents give the weights of TF-IDF.
-2. A randomised SVD of the TF-IDF matrix of passages is made by Spark: tasks sum ``A^T (A G)`` for a random G, the sums
-   meet by block of rows, a QR gives the range, and a second pass sums the small Gram matrix there. It is fitted on the
-   passages of at most ``sample`` documents (the first by a hash of their id); all documents are searched.
-3. Every text is read as blocks of ``BLOCK`` words. Each benchmark item is compared by cosine in the latent space with
-   every window of its own length (in whole blocks) that starts at a block. Candidates whose surroundings hold too few
-   of the item's rare words for step 4 go: a common subsequence can't be longer than the common words.
-4. A candidate counts if the longest common subsequence of item and window (with its surroundings) holds at least
-   ``share`` of the item's words, and at least half of the words of its answer (the item's last sentence) in order.
-   Words are compared without letter case (A-Z) and outer punctuation.
+2. A randomised SVD of the TF-IDF matrix of the passages of all documents is made by Spark: tasks sum ``A^T (A G)`` for a
+   random G, the sums meet by block of rows, a QR gives the range, and a second pass sums the small Gram matrix there.
+3. Every text is read as windows that start at every ``BLOCK``-th word and reach ``BLOCK`` words before and half an item
+   and ``BLOCK`` words behind the item's length, so that whatever spans at most one and a half times the item's words lies
+   whole in one of them, wherever it starts. A window is a candidate for an item if it holds as many of the item's rare
+   words as step 4 can't do without: a common subsequence can't be longer than the common words. This loses nothing that
+   step 4 would accept, so no candidate has to reach a cosine.
+4. A candidate counts if the longest common subsequence of item and window holds at least ``share`` of the item's words,
+   and at least half of the words of its answer (the item's last sentence) in order. Words are compared without letter
+   case (A-Z) and outer punctuation. Of each match, the run of as many words as the item has that is nearest to it in the
+   latent space, over all starts, gives cosine and first word.
 
 Benchmark items are the stated query set; they are read in blocks of ``ITEMS``, and each block is one search over all
 documents.
@@ -30,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huegrid.llm.common import Vocabulary, slices, table, words_of, written
+from huegrid.llm.common import Vocabulary, slices, table, words_of
 
-BUCKETS, RANK, BLOCK, ITEMS, ROWS = 8192, 64, 8, 5000, 512
+BUCKETS, RANK, BLOCK, ITEMS, ROWS = 8192, 64, 8, 5000, 32
 #: Words of a weight above each of these (rarer than in all, one of three, of eight, of twenty documents) are counted in a window.
 RARE = (3.0, 2.0, 1.0, 0.0)
 #: Words of a smaller weight (in more than about half of all documents) don't count in the latent vectors of windows and items.
@@ -93,7 +95,7 @@ def _passages(texts: list[str | None], idf: np.ndarray, vocabulary: Plain, size:
 
 
 def _products(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, right: np.ndarray) -> np.ndarray:
-    starts = np.searchsorted(row, np.arange(row[-1] + 1))
+    starts = np.searchsorted(row, np.arange(row[0], row[-1] + 1))
     return np.add.reduceat(right[bucket] * value[:, None], starts, axis=0)
 
 
@@ -103,20 +105,22 @@ def _sketch(batches: Iterator[pa.RecordBatch], idf: np.ndarray, right: np.ndarra
     for batch in batches:
         for part in slices(batch.num_rows, 500):
             row, bucket, value = _passages(batch.column("text").slice(part.start, part.stop - part.start).to_pylist(), idf, vocabulary)
-            if len(row):
-                y = _products(row, bucket, value, right)
+            edges = np.searchsorted(row, np.arange(0, row[-1] + 1025, 1024)) if len(row) else []
+            for low, high in zip(edges[:-1], edges[1:], strict=True):  # 1024 passages at a time
+                some, b, v = row[low:high], bucket[low:high], value[low:high]
+                y = _products(some, b, v, right)
                 if gram:
                     total += y.T @ y
                 else:
-                    order = np.argsort(bucket, kind="stable")
-                    used, starts = np.unique(bucket[order], return_index=True)
-                    total[used] += np.add.reduceat(y[row[order]] * value[order, None], starts, axis=0)
+                    order = np.argsort(b, kind="stable")
+                    used, starts = np.unique(b[order], return_index=True)
+                    total[used] += np.add.reduceat(y[some[order] - some[0]] * v[order, None], starts, axis=0)
     blocks = [total[i : i + ROWS] for i in range(0, len(total), ROWS)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "data"])
 
 
 def _summed(blocks: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(d) for d in blocks.data)
+    total = sum(np.frombuffer(d) for d in sorted(blocks.data))
     return pd.DataFrame({"block": blocks.block[:1], "data": [total.tobytes()]})
 
 
@@ -127,11 +131,10 @@ def _sum(rows: DataFrame, idf: np.ndarray, right: np.ndarray, gram: bool) -> np.
     return np.concatenate([found[k] for k in sorted(found)]).reshape(-1, shape) if found else np.zeros((shape if gram else BUCKETS, shape))
 
 
-def latent_space(docs: DataFrame, idf: np.ndarray, sample: int = 4000, seed: int = 11) -> np.ndarray:
-    """The right singular vectors (BUCKETS x RANK) of the passages, by a randomised SVD."""
-    chosen = docs.select("doc_id").where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.distinct()), "doc_id", "left_semi").select("text")  # at most ``sample`` ids
-    rows = written(rows.repartition(max(2, sample // 500)), "passages")
+def latent_space(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
+    """The right singular vectors (BUCKETS x RANK) of the passages of all documents, by a randomised SVD."""
+    rows = docs.select("text")
+    rows = rows.coalesce(max(24, rows.rdd.getNumPartitions() // 16))  # each task sends one sketch
     start = np.random.default_rng(seed).normal(size=(BUCKETS, RANK + 8)).astype(np.float32)
     basis, _ = np.linalg.qr(_sum(rows, idf, start, False))
     gram = _sum(rows, idf, basis.astype(np.float32), True)
@@ -152,33 +155,81 @@ def common_subsequence(a: list, b: list) -> int:
 
 
 class Items:
-    """Benchmark items in the latent space, by window length."""
+    """Benchmark items in the latent space, and the rare words that a match can't do without."""
 
     def __init__(self, rows: list, idf: np.ndarray, space: np.ndarray, min_words: int, share: float):
         import xxhash
 
         self.weighted = np.where(idf >= COMMON, idf**2, 0).astype(np.float32)[:, None] * space  # the weight of a word in the item and in the window
         self.levels = []  # rare words, and how many places of them a match must have at least
-        self.by_blocks: dict[int, list[int]] = {}
         self.ids, self.words, self.answers, vectors = [], [], [], []
         for item_id, text in rows:
             words = [xxhash.xxh3_64_intdigest(w) for w in plain_words(text)]
             if len(words) < min_words:
                 continue
             last = plain_words((ANSWER.split((text or "").strip()) or [""])[-1])
-            self.by_blocks.setdefault(max(1, round(len(words) / BLOCK)), []).append(len(self.ids))
             self.ids.append(item_id)
             self.words.append(words)
             self.answers.append(words[len(words) - len(last) :])
             own = np.array(words, np.uint64)
             weight = idf[_buckets(own)]
-            self.levels.append([(np.unique(own[weight > r]), need) for r in RARE if (need := share * len(words) - int((weight <= r).sum())) > 0])
+            self.levels.append([(np.unique(own[weight > r]), need) for r in RARE if (need := int(np.ceil(share * len(words) - int((weight <= r).sum()) - 1e-9))) > 0])
             v = self.weighted[_buckets(np.array(words, np.uint64))].sum(0)
             vectors.append(v / max(np.linalg.norm(v), 1e-9))
         self.vectors = np.array(vectors, np.float32).reshape(-1, space.shape[1])
-
-
-def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, share: float) -> Iterator[pa.RecordBatch]:
+        # The items of each word of their rarest level, one word after the other.
+        some = [(levels or [(np.empty(0, np.uint64), 0)])[0] for levels in self.levels]
+        word = np.concatenate([w for w, _ in some]) if some else np.empty(0, np.uint64)
+        item = np.repeat(np.arange(len(some)), [len(w) for w, _ in some])
+        self.of_word = item[np.argsort(word, kind="stable")]
+        self.key_words, first = np.unique(np.sort(word), return_index=True)
+        self.first = np.append(first, len(word))
+        self.need = np.array([n for _, n in some], np.int64)
+        size = np.array([len(w) for w in self.words], np.int64)
+        self.behind = np.maximum(1, np.round(size / BLOCK).astype(np.int64)) * BLOCK + size // 2 + BLOCK
+
+    def candidates(self, local: np.ndarray, short: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Item, document and first word (a multiple of BLOCK) of all windows with enough of the item's rarest words."""
+        none = (np.empty(0, np.int64),) * 3
+        if not len(self.key_words):
+            return none
+        at = np.searchsorted(self.key_words, local).clip(max=len(self.key_words) - 1)
+        place = np.nonzero((self.key_words[at] == local)[short])[0]
+        low, high = self.first[at[short[place]]], self.first[at[short[place]] + 1]
+        times = high - low
+        place = np.repeat(place, times)
+        item = self.of_word[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(place))]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
+        doc = np.searchsorted(ends, place, "right") - 1
+        last = np.arange(len(place)) + self.need[item] - 1  # with this place, the words from here on are enough
+        here = np.nonzero(last < len(place))[0]
+        last = last[here]
+        good = (item[last] == item[here]) & (doc[last] == doc[here]) & (place[last] - place[here] < self.behind[item[here]] + BLOCK)
+        here, last = here[good], last[good]
+        if not len(here):
+            return none
+        item, doc = item[here], doc[here]
+        p, q = place[here] - ends[doc], place[last] - ends[doc]
+        low = np.maximum(0, (q - self.behind[item]) // BLOCK + 1)
+        times = np.maximum(0, np.minimum(p // BLOCK + 1, (ends[doc + 1] - ends[doc] - 1) // BLOCK) - low + 1)
+        block = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+        blocks = int(np.diff(ends).max()) // BLOCK + 2
+        key = np.unique((np.repeat(item, times) * len(ends) + np.repeat(doc, times)) * blocks + block)
+        return key // blocks // len(ends), key // blocks % len(ends), key % blocks * BLOCK
+
+    def nearest(self, item: int, words: np.ndarray) -> tuple[float, int]:
+        """Cosine and place of the run of the item's length that is nearest to it."""
+        n = min(len(self.words[item]), len(words))
+        sums = np.zeros((len(words) + 1, self.weighted.shape[1]))
+        np.cumsum(self.weighted[_buckets(words)], axis=0, out=sums[1:])
+        runs = sums[n:] - sums[: len(sums) - n]
+        near = runs @ self.vectors[item] / np.maximum(np.sqrt(np.einsum("ij,ij->i", runs, runs)), 1e-9)
+        at = int(near.argmax())
+        return float(near[at]), at
+
+
+def _search(batches: Iterator[pa.RecordBatch], items: Items, share: float) -> Iterator[pa.RecordBatch]:
     vocabulary = Plain()
     for batch in batches:
         out = []
@@ -195,6 +246,9 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, shar
             number = np.zeros(len(hashes), np.int32)
             number[used] = same
             short = number[ids]
+            which, doc, start = items.candidates(local, short, ends)
+            if not len(which):
+                continue
 
             order = np.argsort(short)  # the places of each word, one after the other
             first = np.zeros(len(local) + 1, np.int64)
@@ -205,54 +259,30 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, shar
                 some = [order[first[k] : first[k + 1]] for k in at[local[at] == words]]
                 return np.sort(np.concatenate(some)) if some else np.empty(0, np.int64)
 
-            inside = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
-            starts = np.nonzero(inside % BLOCK == 0)[0]
-            table_ = items.weighted[_buckets(local)]
-            heavy = np.nonzero(table_.any(1)[short])[0]
-            edges = np.searchsorted(heavy, np.append(starts, len(ids)))
-            sums = np.zeros((len(starts), table_.shape[1]), np.float32)
-            for piece in slices(len(starts), 8192):
-                low, high = edges[piece.start], edges[piece.stop]
-                some = np.nonzero(edges[piece] < edges[piece.start + 1 : piece.stop + 1])[0]  # blocks with a word that counts
-                if len(some):
-                    sums[piece.start + some] = np.add.reduceat(table_[short[heavy[low:high]]], edges[piece][some] - low, axis=0)
-            doc = np.searchsorted(ends, starts, "right") - 1
-            last = np.searchsorted(doc, doc, "right")  # after each document's last block
             found: dict[tuple[int, int], tuple[float, float, int]] = {}
-            wide = sums.copy()  # of as many blocks as the loop has come to, within a document
-            for blocks in range(1, max(items.by_blocks, default=0) + 1):
-                if 1 < blocks <= len(starts):
-                    more = np.arange(blocks - 1, len(starts)) < last[: len(starts) - blocks + 1]
-                    wide[: len(more)] += sums[blocks - 1 :] * more[:, None]
-                if blocks not in items.by_blocks:
+            edges = np.append(np.nonzero(np.diff(which, prepend=-1))[0], len(which))
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                item, of, at = int(which[a]), doc[a:b], ends[doc[a:b]] + start[a:b]
+                n = len(items.words[item])
+                low = np.maximum(ends[of], at - BLOCK)
+                high = np.minimum(ends[of + 1], at + items.behind[item])
+                for rare, needed in items.levels[item]:
+                    there = places(rare)
+                    good = np.searchsorted(there, high) - np.searchsorted(there, low) >= needed
+                    of, low, high = of[good], low[good], high[good]
+                    if not len(of):
+                        break
+                if not len(of):
                     continue
-                members = items.by_blocks[blocks]
-                window = wide / np.maximum(np.sqrt(np.einsum("ij,ij->i", wide, wide)), 1e-9)[:, None]
-                near = items.vectors[members] @ window.T
-                for k, item in enumerate(members):
-                    at = np.nonzero(near[k] >= cosine)[0]
-                    if not len(at):
-                        continue
-                    n = len(items.words[item])
-                    low = np.maximum(ends[doc[at]], starts[at] - BLOCK)
-                    high = np.minimum(ends[doc[at] + 1], starts[at] + blocks * BLOCK + n // 2 + BLOCK)
-                    for rare, needed in items.levels[item]:
-                        there = places(rare)
-                        good = np.searchsorted(there, high) - np.searchsorted(there, low) >= needed
-                        at, low, high = at[good], low[good], high[good]
-                        if not len(at):
-                            break
-                    if not len(at):
-                        continue
-                    hit = places(np.unique(np.array(items.words[item], np.uint64)))
-                    word_at = local[short[hit]].tolist()
-                    for w, a, b in zip(at, np.searchsorted(hit, low), np.searchsorted(hit, high), strict=True):
-                        around = word_at[a:b]  # without the words that the item doesn't have
-                        lcs = common_subsequence(items.words[item], around) / n
-                        answer = items.answers[item]
-                        if lcs >= share and 2 * common_subsequence(answer, around) >= len(answer):
-                            d = doc[w]
-                            found[d, item] = max(found.get((d, item), (0.0, 0.0, 0)), (lcs, float(near[k, w]), -int(inside[starts[w]])))
+                hit = places(np.unique(np.array(items.words[item], np.uint64)))
+                word_at = local[short[hit]].tolist()
+                for d, x, y, i, j in zip(of.tolist(), low, high, np.searchsorted(hit, low), np.searchsorted(hit, high), strict=True):
+                    around = word_at[i:j]  # without the words that the item doesn't have
+                    lcs = common_subsequence(items.words[item], around) / n
+                    answer = items.answers[item]
+                    if lcs >= share and 2 * common_subsequence(answer, around) >= len(answer):
+                        near, word = items.nearest(item, local[short[x:y]])
+                        found[d, item] = max(found.get((d, item), (0.0, -2.0, 0)), (lcs, near, -int(x - ends[d] + word)))
             ids_here = rows.column("doc_id").to_pylist()
             out.extend((ids_here[d], items.ids[item], lcs, cos, -word) for (d, item), (lcs, cos, word) in sorted(found.items()))
         columns = list(zip(*out, strict=True)) or [[]] * 5
@@ -261,10 +291,10 @@ def _search(batches: Iterator[pa.RecordBatch], items: Items, cosine: float, shar
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "share", "cosine", "first_word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, share: float = 0.6, min_words: int = 8, sample: int = 4000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, min_words: int = 8) -> DataFrame:
     """doc_id, item_id, share (of the item's words, in order), cosine, first_word of each document and item that it holds."""
     idf = inverse_frequencies(docs)
-    space = latent_space(docs, idf, sample)
+    space = latent_space(docs, idf)
     rows = docs.select("doc_id", "text")
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     item_kind = "long" if item_kind in ("tinyint", "smallint", "int", "bigint") else "string"
@@ -273,7 +303,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.7, sha
     found = None
     for k in range(blocks):
         queries = Items(sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()), idf, space, min_words, share)
-        part = rows.mapInArrow(lambda b, q=queries: _search(b, q, cosine, share), f"doc_id {kind}, item_id {item_kind}, share double, cosine double, first_word long")
+        part = rows.mapInArrow(lambda b, q=queries: _search(b, q, share), f"doc_id {kind}, item_id {item_kind}, share double, cosine double, first_word long")
         found = part if found is None else found.union(part)
     return found
 

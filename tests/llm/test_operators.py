@@ -460,6 +460,44 @@ def test_items_are_found_and_clean_documents_are_not(spark):
     assert got == {(1, 0), (3, 3), (4, 5)}
 
 
+def test_short_items_are_found_wherever_they_start(spark):
+    random = np.random.default_rng(12)
+    usual = [f"u{k}" for k in range(60)]
+    items = [" ".join(f"w{random.integers(400)}" if random.random() < 0.7 else random.choice(usual) for _ in range(n)) for n in (8, 9, 11, 12, 13, 17, 20, 24)]
+    texts, want = [], set()
+    for k, item in enumerate(items):
+        for offset in range(8):
+            for dropped in (0, 1):
+                words = item.split()
+                if dropped:
+                    del words[len(words) // 3]
+                before = [str(random.choice(usual)) if random.random() < 0.5 else f"w{random.integers(400)}" for _ in range(40 + offset)]
+                after = [str(random.choice(usual)) if random.random() < 0.5 else f"w{random.integers(400)}" for _ in range(30)]
+                texts.append(" ".join([*before, *words, *after]))
+    for d, text in enumerate(texts, 1):
+        words = decontamination.plain_words(text)
+        for k, item in enumerate(items):
+            own = decontamination.plain_words(item)
+            width = len(own) + len(own) // 2
+            if any(decontamination.common_subsequence(own, words[i : i + width]) >= 0.6 * len(own) for i in range(len(words))):
+                want.add((d, k))
+    assert {((k * 8 + o) * 2 + c + 1, k) for k in range(len(items)) for o in range(8) for c in (0, 1)} <= want
+    bench = spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs(spark, *texts), bench).collect()}
+    assert want <= got
+
+
+def test_latent_space_is_that_of_all_documents(spark):
+    table = docs(spark, *(filler(k, 3) for k in range(60)))
+    idf = decontamination.inverse_frequencies(table)
+    space = decontamination.latent_space(table, idf)
+    row, bucket, value = decontamination._passages([r.text for r in table.collect()], idf, decontamination.Plain())
+    dense = np.zeros((row[-1] + 1, decontamination.BUCKETS))
+    dense[row, bucket] = value
+    top = np.linalg.svd(dense, compute_uv=False)[: decontamination.RANK]
+    assert np.linalg.norm(dense @ space) ** 2 >= 0.98 * (top**2).sum()
+
+
 def test_common_subsequence():
     random = np.random.default_rng(2)
     for _ in range(50):
