@@ -1,11 +1,14 @@
-"""Substring dedup: sentences covered by a repeated run of consecutive sentences, except at the run's first place.
+"""Substring dedup: text covered by a repeated run of consecutive pieces, except at the run's first place.
 
 A text is cut into sentences (after ``.``, ``!`` or ``?`` before white space, and at line ends). Sentences of more than
-``LONG`` words are cut again at commas, and clauses of more than twice that after words chosen by their own hash, so that
-the cuts depend on the words around them alone and fall alike in every copy of a passage. From each sentence on, the run
-of the fewest consecutive sentences that are at least ``min_sentences`` and hold at least ``min_words`` words is hashed
-(64 bits). All runs meet by hash over the whole corpus: the first place of a run is the smallest (doc_id, position);
-everywhere else its sentences are removed, within the same document too.
+``PIECE`` words are cut after each word whose hash is the least of some ``NEAR`` words in a row, so that the cuts depend on
+the words around them alone, fall alike in every copy of a passage, and are at most ``NEAR`` words apart. From each piece
+on, the run of the fewest consecutive pieces that are at least ``min_sentences`` and hold at least ``min_words`` words is
+hashed (64 bits). All runs meet by hash over the whole corpus: the first place of a run is the smallest (doc_id, position);
+everywhere else its pieces are removed, within the same document too.
+
+Copies of a passage agree on a cut within its first and its last ``PIECE`` words, whatever stands around them, and on all
+cuts between. A run of 25 words is over after 33, so every repeated passage of more than 50 words holds one.
 
 Runs are summed map-side before their shuffle, and a hash shared by a third of all documents is one row after it; the
 join back is on a plain key, which Spark splits when it is skewed.
@@ -30,31 +33,29 @@ from pyspark.sql import functions as F
 from huegrid.llm.common import mix, signed, table, written
 
 END = re.compile(r"[.!?]+\s+|\s*\n\s*")
-COMMA = re.compile(r",\s+")
 WORD = re.compile(r"\S+\s*")
-LONG = 20
+PIECE, NEAR = 9, 5
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
 def sentence_ends(text: str) -> list[int]:
-    """Where each sentence ends (with the white space after it)."""
+    """Where each piece ends (with the white space after it)."""
     ends = [m.end() for m in END.finditer(text)]
     if not ends or ends[-1] < len(text):
         ends.append(len(text))
-    out, start = [], 0
-    for end in ends:
-        if end - start > 4 * LONG and len(text[start:end].split()) > LONG:
-            cuts = [start, *(m.end() for m in COMMA.finditer(text, start, end)), end]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if b - a > 8 * LONG and text.count(" ", a, b) >= 2 * LONG:
-                    out.extend(e for m in WORD.finditer(text, a, b) if (e := m.end()) < b and zlib.crc32(m.group().strip().encode("utf-8", "surrogatepass")) & 7 == 0)
-                if b > a:
-                    out.append(b)
-        elif end > start:
-            out.append(end)
-        start = end
-    return out
+    words = np.array([m.end() for m in WORD.finditer(text)], np.int64)
+    sentence = np.searchsorted(ends, words)
+    long = np.bincount(sentence, minlength=len(ends))[sentence] > PIECE
+    if long.any():
+        size = len(words)
+        value = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in text.split()), np.int64, size)
+        least = np.min([value[k : size - NEAR + 1 + k] for k in range(NEAR)], axis=0)
+        cut = np.zeros(size, bool)
+        for k in range(NEAR):
+            cut[k : size - NEAR + 1 + k] |= value[k : size - NEAR + 1 + k] == least
+        ends = np.union1d(ends, words[cut & long]).tolist()
+    return [e for e in ends if e > 0]
 
 
 def runs_of(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,7 +71,7 @@ def runs_of(text: str, min_sentences: int, min_words: int) -> tuple[np.ndarray,
     parts = [text[a:b].strip() for a, b in zip(starts, ends, strict=True)]
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(p.encode("utf-8", "surrogatepass")) for p in parts), np.uint64, n)
     words = np.zeros(n + 1, np.int64)
-    np.cumsum([p.count(" ") + 1 if p else 0 for p in parts], out=words[1:])
+    np.cumsum([len(p.split()) for p in parts], out=words[1:])
     at = np.arange(n)
     last = np.maximum(np.searchsorted(words, words[:-1] + min_words), at + min_sentences)
     at = at[last <= n]

@@ -263,6 +263,36 @@ def test_ranges_equal_brute_force(spark, sf):
     assert dict(got) == dict(want)
 
 
+def sentences(random, *sizes):
+    return " ".join(" ".join(f"s{random.integers(1 << 30)}" for _ in range(n)).capitalize() + "." for n in sizes)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_every_passage_of_over_50_words_is_caught(spark, seed):
+    random = np.random.default_rng(seed)
+    forms = [(28, 28), (17, 20, 18), (51,), (60,), (26, 25), (9, 42), (42, 9), (8, 9, 9, 8, 9, 8), (10, 10, 10, 10, 11), (5, 38, 8), (20, 21, 10)]
+    texts, passages = [], []
+    for sizes in forms:
+        for before, after in (("", ""), ("w", ""), ("w w w w w w w w w w w", "w w"), ("w w w w", "w w w w w w w w w w w w")):
+            passage = sentences(random, *sizes)
+            inside = passage.rstrip(".") if after else passage  # then the last sentence goes on, too
+            for _ in range(2):
+                own = [" ".join(f"n{random.integers(1 << 30)}" for _ in x.split()) for x in (before, after)]
+                texts.append(" ".join(filter(None, [sentences(random, 12, 7), own[0], inside, own[1] + "." if after else "", sentences(random, 15, 30)])))
+            passages.append(inside)
+    ranges = collections.defaultdict(set)
+    for r in spans.repeated_ranges(docs(spark, *texts, first=0)).collect():
+        ranges[r.doc_id].update(range(r.start, r.end))
+    for k, passage in enumerate(passages):
+        first, second = texts[2 * k].split(), texts[2 * k + 1].split()
+        shared = {tuple(first[i : i + 51]) for i in range(len(first) - 50)} & {tuple(second[i : i + 51]) for i in range(len(second) - 50)}
+        assert shared, "the passage stands in both by words"
+        at = texts[2 * k + 1].index(passage)
+        assert not ranges[2 * k] and ranges[2 * k + 1] <= set(range(at, at + len(passage) + 1))
+        gone = "".join(c for i, c in enumerate(texts[2 * k + 1]) if i in ranges[2 * k + 1])
+        assert len(gone.split()) >= 25
+
+
 def test_spans_of_odd_rows(odd, empty):
     assert spans.deduplicated(odd).columns == odd.columns
     assert spans.deduplicated(odd).count() == odd.count()
