@@ -1,7 +1,8 @@
 """HTML extraction: a recurrent network labels the blocks of a page as main text or not.
 
-A page is read as the sequence of its leaf blocks (text between block-level tags; scripts, styles, comments and the head
-never become text). Each block is described by its tag path (tags, classes and ids of all open elements, hashed), its
+A page is read as the sequence of its leaf blocks (text between block-level tags; scripts, styles, drawings, comments and
+the head never become text). A head without end tag ends at the first tag or text that belongs to the body, a drawing
+without one where a block begins or ends; only scripts, styles and frames without one run to the end of the page. Each block is described by its tag path (tags, classes and ids of all open elements, hashed), its
 words (hashed), its length, link share and place. A bidirectional LSTM in numpy reads the whole sequence, so that every
 block is labelled with the context of all others, and blocks above one half are kept in page order.
 
@@ -32,7 +33,7 @@ from huegrid.llm.common import slices, table
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|math|iframe|object|canvas|noscript|head)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|template|svg|iframe|object|canvas|noscript|head|annotation(?:-xml)?)(?![\w:\-])(?P<own>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
     r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:\-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:\-]*)(?P<rest2>[^>]*)>"
     r"|<[!?][^>]*>",
@@ -46,6 +47,18 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol option p pre section select summary table tbody td textarea "
     "tfoot th thead title tr ul".split()
 )
+#: Elements whose text is no markup: without an end tag they run to the end of the page.
+RAW = frozenset("script style iframe".split())
+OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]+$")  # a slash at the end of an unquoted value is part of it
+IN_HEAD = re.compile(r"\s+|<!--.*?(?:-->|\Z)|<(?P<whole>script|style|title|noscript|template)(?![\w:\-])[^>]*>.*?(?:</(?P=whole)\s*>|\Z)|<(?:meta|link|base|basefont|bgsound)(?![\w:\-])[^>]*>", re.IGNORECASE | re.DOTALL)
+HEAD_END = re.compile(r"</head\s*>", re.IGNORECASE)
+#: Inside a drawing: elements that may hold HTML, the drawing itself, and what ends a drawing that was left open.
+DRAWN = re.compile(
+    r"<(?P<end>/?)(?:(?P<holder>foreignobject|desc|title)|(?P<svg>svg)|(?P<out>b|big|br|code|em|embed|hr|i|img|s|small|span|strong|sub|sup|u|"
+    + "|".join(sorted(BLOCKS - {"title"}))
+    + r"))(?![\w:\-])(?P<rest>[^>]*)>",
+    re.IGNORECASE,
+)
 #: Names of elements, classes and ids that tell main text from the rest where a page's own markup says so.
 MAIN = frozenset(("article", "main"))
 OTHER = frozenset(
@@ -69,6 +82,41 @@ def _names(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(names)
 
 
+def _drawing_end(page: str, at: int) -> int:
+    """Where a drawing ends whose start tag ends at ``at``."""
+    holders, depth = 0, 1
+    for m in DRAWN.finditer(page, at):
+        closed = m["rest"].endswith("/")
+        if m["holder"]:
+            holders += 0 if closed else -1 if m["end"] and holders else 0 if m["end"] else 1
+        elif m["svg"]:
+            depth += 0 if closed else -1 if m["end"] else 1
+            if not depth:
+                return m.end()
+        elif not holders:
+            return m.start()
+    return at
+
+
+def _raw_end(page: str, m: re.Match, missing: set[str]) -> int:
+    """Where an element without text of its own ends, end tag included; ``missing`` gathers names with no further end tag."""
+    name, at = m["raw"].lower(), m.end()
+    if name == "head":
+        while inside := IN_HEAD.match(page, at):
+            at = inside.end()
+        end = HEAD_END.match(page, at)
+        return end.end() if end else at
+    if name not in ("script", "style") and m["own"].endswith("/") and not OPEN_VALUE.search(m["own"]):
+        return at
+    if name == "svg":
+        return _drawing_end(page, at)
+    end = None if name in missing else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+    if end:
+        return end.end()
+    missing.add(name)
+    return len(page) if name in RAW else at
+
+
 def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
@@ -85,7 +133,8 @@ def blocks_of(page: str | None) -> list[Block]:
                 out.append(Block(tuple(n for _, names in stack for n in names), text, linked / max(1, total)))
         pieces, linked, total = [], 0, 0
 
-    for m in TAG.finditer(page):
+    missing: set[str] = set()
+    while m := TAG.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
@@ -96,7 +145,9 @@ def blocks_of(page: str | None) -> list[Block]:
         name = m["name"] or m["name2"]
         if not name:
             if m["raw"]:
-                close()
+                at = _raw_end(page, m, missing)
+                if not m["raw"].lower().startswith("annotation"):
+                    close()
             continue
         name = name.lower()
         if name == "br":

@@ -107,6 +107,22 @@ def test_blocks_and_references():
     assert [b.text for b in html_text.blocks_of("a < b <p>c<p>d <!-- e")] == ["a < b", "c", "d"]
 
 
+def test_blocks_of_pages_without_end_tags():
+    def texts(page):
+        return [b.text for b in html_text.blocks_of(page)]
+
+    assert texts("<!doctype html><html><head><meta charset=utf-8><title>T</title><style>a{}</style><body><p>One.</p><p>Two.") == ["One.", "Two."]
+    assert texts("<html><head><title>T</title><script>'<p>'</script><link rel=x><!-- c --><article><p>One.</article>") == ["One."]
+    assert texts("<head><title>T</title>Bare text<p>Two.") == ["Bare text", "Two."]
+    assert texts("<head><title>T</title></head><header>H</header><p>One.") == ["H", "One."]
+    for empty in ("<svg width='1' />", "<math/>", '<iframe src="/x"/>', "<object/>", "<canvas />", "<noscript/>", "<svg><path d='M0'/></svg>", "<svg><title>t</title><desc><p>d</p></desc></svg>", "<svg><svg>a</svg>b</svg>"):
+        assert texts(f"<article><p>One.</p>{empty}<p>Two.</p></article><svg><text>no</text></svg><iframe>no</iframe><p>Three.") == ["One.", "Two.", "Three."], empty
+    for left_open in ("<svg>", "<object>", "<canvas>", "<template>", "<noscript>"):
+        assert texts(f"<article><p>One.</p>{left_open}<p>Two.</p></article><p>Three.") == ["One.", "Two.", "Three."], left_open
+    assert texts("<p>Here <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=tex>x^2</annotation></math> holds.</p>") == ["Here x=2 holds."]
+    assert texts("<p>One.</p><script>var a = '<p>no</p>';") == ["One."] == texts("<p>One.</p><style>p{} <p>no") == texts("<p>One.<iframe src=/a/><p>no")
+
+
 def test_labeller_on_pages_it_has_not_seen(spark, sf):
     pages = [(r.page_id, r.html) for r in spark.read.parquet(sf.replace("0.001", "0.01") + "/pages.parquet").orderBy("page_id").collect()]
     labeller = html_text.train([h for _, h in pages[:120]])
