@@ -50,7 +50,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 1024 ids."""
-    return packing.packed(docs)
+    return packing.packed(docs, added_tokens=True)
 
 
 STAGES = [

@@ -53,7 +53,10 @@ class Encoder:
         import tiktoken
 
         with open(path or public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        self.added = {token["content"]: pack("<I", token["id"]) for token in file.get("added_tokens", ())}
+        self.split = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         byte_of, special = _byte_of(), "<|endoftext|>"
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token != special}
         self.encode_one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -80,6 +83,15 @@ class Encoder:
             return b"".join(map(known.__getitem__, words))
 
 
+    def encode_added(self, text: str) -> bytes:
+        """As the tokenizer library does by default: added tokens inside the text are ids of their own, and what is between is encoded apart."""
+        out, at = [], 0
+        for m in self.split.finditer(text) if self.split else ():
+            out += [self.encode(text[at : m.start()]), self.added[m.group()]]
+            at = m.end()
+        return b"".join([*out, self.encode(text[at:])]) if out else self.encode(text)
+
+
 _ENCODERS: dict[str | None, Encoder] = {}
 
 
@@ -169,7 +181,7 @@ class Packer:
                 self._emit(1 << bit, pieces)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smallest: int, step_tokens: int, waiting: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smallest: int, step_tokens: int, waiting: int, end_id: int, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     packer = Packer(size, smallest, step_tokens, waiting, (context.partitionId() if context else 0) << 40)
     end, kind = np.array([end_id], "<u4").tobytes(), None
@@ -182,7 +194,8 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smal
 
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        encode = encoder_of(path).encode
+        encoder = encoder_of(path)
+        encode = encoder.encode_added if added_tokens else encoder.encode
         for part in slices(batch.num_rows, 512):
             some = batch.slice(part.start, part.stop - part.start)
             for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
@@ -193,15 +206,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smal
         yield rows()
 
 
-def packed(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, smallest: int = 128, step_tokens: int = 1 << 16, waiting: int = 64, end_id: int = 0) -> DataFrame:
+def packed(docs: DataFrame, tokenizer: str | None = None, size: int = 1024, smallest: int = 128, step_tokens: int = 1 << 16, waiting: int = 64, end_id: int = 0, added_tokens: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, tier (the window's size), step_group.
 
-    ``tokenizer`` is the tokenizer's file on the executors; by default the public byte-level BPE of 50k entries."""
+    ``tokenizer`` is the tokenizer's file on the executors; by default the public byte-level BPE of 50k entries.
+    With ``added_tokens``, its added tokens (<|endoftext|>) become their ids where they stand in a text; otherwise they are text like any other."""
     if size & (size - 1) or smallest & (smallest - 1) or not 1 <= smallest <= size or step_tokens % size:
         raise ValueError("size and smallest are powers of two, and step_tokens is a multiple of size")
     rows = docs.select("doc_id", "text")
-    return rows.mapInArrow(lambda b: _pieces(b, tokenizer, size, smallest, step_tokens, waiting, end_id), SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
+    return rows.mapInArrow(lambda b: _pieces(b, tokenizer, size, smallest, step_tokens, waiting, end_id, added_tokens), SCHEMA.format(rows.schema["doc_id"].dataType.simpleString()))
 
 
 def op1_packing(spark, sf_dir) -> DataFrame:
-    return packed(table(spark, sf_dir, "documents"))
+    return packed(table(spark, sf_dir, "documents"), added_tokens=True)

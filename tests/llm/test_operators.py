@@ -87,6 +87,28 @@ def test_encoder_equals_the_tokenizer():
         assert encoder.encode(text) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:40]
 
 
+def test_added_tokens_inside_texts_are_those_of_the_library(spark, tmp_path):
+    from public_tokenizers import path
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    tokenizer, token = Tokenizer.from_file(path("byte_bpe_50k.json")), "<|endoftext|>"
+    texts = [f"a {token} b", token, token * 3, f"  {token}  \n{token}x y", f"<|endoftext {token[:-1]} |>", f"don{token}'t é{token}é", "none here", "", *filter(None, ODD)]
+    table = docs(spark, *texts, first=0)
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    assert tokenizer.encode(texts[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    for rows in (packing.op1_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, table, "")):
+        pieces = collections.defaultdict(list)
+        for r in rows.collect():
+            pieces[r.doc_id].append(r)
+        for doc, text in enumerate(texts):
+            ids = np.array([*tokenizer.encode(text, add_special_tokens=False).ids, 0], "<u4")
+            for r in pieces[doc]:
+                assert r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes()), text[:40]
+            assert sum(r.length for r in pieces[doc]) == len(ids)
+
+
 def test_step_groups_weigh_the_same(spark, sf):
     rows = packing.packed(spark.read.parquet(f"{sf}/documents.parquet").repartition(1), step_tokens=4096)
     weights = sorted(r[1] for r in rows.groupBy("step_group").agg(F.sum("length")).collect())
