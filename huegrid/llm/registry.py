@@ -27,9 +27,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op2_html_extraction": op2_html_extraction,
-    "op3_lm_scoring": op3_lm_scoring,
-    "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_formatting": r"""
 WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

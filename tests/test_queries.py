@@ -43,3 +43,14 @@ def test_models_without_sql(spark, sf):
     assert sorted(labels) == sorted(queries.QUERIES["cosine_kmeans"](spark, sf).collect())
     draws = queries.QUERIES["lfr_by_draw"](spark, sf).collect()
     assert len(draws) == 25 and all(0 <= r.flips <= r.pixels for r in draws)
+
+
+def test_oracle_sql_is_sql_with_the_rows_of_its_query(spark, sf, db):
+    import __spark_entry__
+
+    known, found = __spark_entry__.oracle_sql(), __spark_entry__.queries()
+    assert known.keys() <= found.keys() and all(isinstance(sql, str) for sql in known.values())
+    for name in sorted(known.keys() - queries.ORACLE_SQL.keys()):  # test_query_equals_its_sql runs the library's own
+        want = db.sql(known[name])
+        columns = sorted(want.columns)
+        assert normal(tuple(r) for r in found[name](spark, sf).select(*columns).collect()) == normal(want.select(*columns).fetchall())
