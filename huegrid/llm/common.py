@@ -2,26 +2,41 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections import defaultdict
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MASK = (1 << 64) - 1
+#: Row groups of tables between stages; a writer holds one in memory.
+BLOCK_BYTES = 16 << 20
+
+
+#: Rows of texts in an Arrow batch, where the session has Spark's default of 10,000: a few MB of usual texts.
+BATCH_ROWS, BATCH = 2000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or on one machine one of our own where it is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not (spark.conf.get("spark.master", "") + "[").startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="huegrid-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
@@ -31,7 +46,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: this cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -58,21 +73,24 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Vocabulary:
-    """Gives each word of a task a small number; forgets all words once there are too many."""
+    """Gives each word of a task a small number; forgets all words once there are too many, or once they may hold too many bytes."""
 
-    def __init__(self, limit: int = 1_500_000):
-        self.limit = limit
+    def __init__(self, limit: int = 400_000, most: int = 1 << 26):
+        self.limit, self.most, self.turn = limit, most, 0
         self.clear()
 
     def clear(self) -> None:
+        self.turn += 1  # tells users that the numbers have changed
+        self.seen = 0  # bytes of text, and so at least those of the words
         self.ids: defaultdict[bytes, int] = defaultdict()
         self.ids.default_factory = self.ids.__len__
         self.hashes = np.empty(0, np.uint64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of all words of the texts, one after the other, and where each text starts (one more entry than texts)."""
-        if len(self.ids) > self.limit:
+        if len(self.ids) > self.limit or self.seen > self.most:
             self.clear()
+        self.seen += sum(len(t) for t in texts if t)
         get, parts, ends = self.ids.__getitem__, [], np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
             words = words_of(text)
@@ -93,6 +111,24 @@ class Vocabulary:
         return self.hashes
 
 
+def tidy(f: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For the functions of tasks: what a task used is given back at its end, as Spark keeps the worker for later stages."""
+
+    @wraps(f)
+    def rows(*args, **named) -> Iterator:
+        try:
+            yield from f(*args, **named)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not every C library has it
+                pass
+
+    return rows
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers (the finalizer of SplitMix64)."""
     x = np.asarray(x, np.uint64)
@@ -108,3 +144,14 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 def slices(n: int, size: int) -> Iterable[slice]:
     return (slice(i, min(i + size, n)) for i in range(0, n, size))
+
+
+def by_size(texts: pa.Array, most: int = 1 << 21) -> Iterable[slice]:
+    """Rows in groups of at most ``most`` bytes of text, or one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(ends):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield slice(start, stop)
+        start = stop

@@ -1,30 +1,34 @@
 """Benchmark decontamination: latent semantic retrieval of benchmark items in documents, then exact checks.
 
-1. Document frequencies of hashed words (``BUCKETS``) over all documents give the weights of TF-IDF.
-2. A randomised SVD of the TF-IDF matrix of the passages of all documents is made by Spark: tasks sum ``A^T (A G)`` for a
-   random G, the sums meet by block of rows, a QR gives the range, and a second pass sums the small Gram matrix there.
+Words are runs of letters, digits and non-ASCII characters without letter case (A-Z). The words of the benchmark are the
+columns of all matrices, so that no two words share one.
+
+1. Document frequencies of the columns over all documents give the weights of TF-IDF.
+2. A randomised SVD of the TF-IDF matrix A of the passages (``PASSAGE`` words) of all documents is made by Spark: tasks sum
+   ``A^T (A G)`` for a random G, the sums meet by block of rows, and the singular vectors follow from ``G`` and this sum.
 3. Every text is read as windows that start at every ``BLOCK``-th word and reach ``BLOCK`` words before and half an item
    and ``BLOCK`` words behind the item's length, so that whatever spans at most one and a half times the item's words lies
-   whole in one of them, wherever it starts. A window is a candidate for an item if it holds as many of the item's rare
-   words as step 4 can't do without: a common subsequence can't be longer than the common words. This loses nothing that
-   step 4 would accept, so no candidate has to reach a cosine.
+   whole in one of them, wherever it starts. Windows without as many of the item's rare words as step 4 can't do without
+   are left out: a common subsequence can't be longer than the common words, so this loses nothing. In the others, the run
+   of as many words as the item has whose cosine with the item in the latent space is the highest, over all starts, makes
+   the window a candidate if this cosine reaches ``least_cosine``.
 4. A candidate counts if the longest common subsequence of item and window holds at least ``share`` of the item's words,
-   and at least half of the words of its answer (the item's last sentence) in order. Words are compared without letter
-   case (A-Z) and outer punctuation. Of each match, the run of as many words as the item has that is nearest to it in the
-   latent space, over all starts, gives cosine and first word.
+   and at least half of the words of its answer (the item's last sentence) in order.
 
 Benchmark items are the stated query set; they are read in blocks of ``ITEMS``, and each block is one search over all
 documents.
 
 Defined results: null and empty texts and items match nothing; items with fewer than ``min_words`` words are too short to
-tell and match nothing; repeated rows give repeated results; rows with a null id are searched too; extra columns are
-ignored.
+tell and match nothing; repeated rows give repeated results, and of windows of a document that match an item equally well
+the one with the higher cosine, then the first, is reported; rows with a null id are searched too; texts of any length are
+read whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -32,89 +36,96 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huegrid.llm.common import Vocabulary, slices, table, words_of
+from huegrid.llm.common import by_size, table, tidy
 
-BUCKETS, RANK, BLOCK, ITEMS, ROWS = 8192, 64, 8, 5000, 32
-#: Words of a weight above each of these (rarer than in all, one of three, of eight, of twenty documents) are counted in a window.
-RARE = (3.0, 2.0, 1.0, 0.0)
+RANK, BLOCK, PASSAGE, ITEMS, ROWS = 64, 8, 48, 5000, 32
+#: Words of a weight above each of these are counted in a window, the rarest first.
+RARE = (6.0, 4.5, 3.0, 2.0, 1.0, 0.0)
 #: Words of a smaller weight (in more than about half of all documents) don't count in the latent vectors of windows and items.
 COMMON = 0.7
-OUTER = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+PLAIN = bytes(c | 32 if chr(c).isupper() and c < 128 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 ANSWER = re.compile(r"(?<=[.!?])\s+")
 
 
-class Plain(Vocabulary):
-    """Words are told apart by what is left without outer punctuation."""
+def plain_words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(PLAIN).split() if text else []
 
-    def words(self, start: int = 0) -> list[bytes]:
-        return [w.strip(OUTER) or w for w in super().words(start)]
 
+class Columns:
+    """The words of some texts, numbered from 1; 0 is any other word."""
 
-def plain_words(text: str | None) -> list[bytes]:
-    return [w.strip(OUTER) or w for w in words_of(text)]
+    def __init__(self, texts: list[str | None]):
+        self.of = {w: k for k, w in enumerate(sorted({w for t in texts for w in plain_words(t)}), 1)}
+        self.size = len(self.of) + 1
 
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The columns of all words of the texts, one after the other, and where each text starts (one more entry than texts)."""
+        parts, ends = [], np.zeros(len(texts) + 1, np.int64)
+        for i, text in enumerate(texts):
+            words = plain_words(text)
+            ends[i + 1] = ends[i] + len(words)
+            parts.append(np.fromiter(map(self.of.get, words, repeat(0)), np.int32, len(words)))
+        return (np.concatenate(parts) if parts else np.empty(0, np.int32)), ends
 
-def _buckets(hashes: np.ndarray) -> np.ndarray:
-    return (hashes % np.uint64(BUCKETS)).astype(np.int64)
+    def known(self, texts: pa.Array) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
+        """By group of rows: the rows, the places and columns of the words that have one, and where each text starts."""
+        for part in by_size(texts):
+            ids, ends = self.encode(texts.slice(part.start, part.stop - part.start).to_pylist())
+            place = np.nonzero(ids)[0]
+            yield part, place, ids[place], ends
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    vocabulary, total = Plain(), np.zeros(BUCKETS + 1, np.int64)
+@tidy
+def _frequencies(batches: Iterator[pa.RecordBatch], columns: Columns) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(columns.size, np.int64)  # of column 0: the documents
     for batch in batches:
-        for part in slices(batch.num_rows, 1000):
-            ids, ends = vocabulary.encode(batch.column("text").slice(part.start, part.stop - part.start).to_pylist())
-            bucket = _buckets(vocabulary.hashed())[ids]
-            owner = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
-            there = np.zeros((len(ends) - 1) * BUCKETS, bool)
-            there[owner * BUCKETS + bucket] = True
-            total[:BUCKETS] += there.reshape(-1, BUCKETS).sum(0)
-            total[BUCKETS] += len(ends) - 1
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(BUCKETS + 1)), pa.array(total)], ["bucket", "n"])
-
-
-def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """The weight of each bucket: log((1 + documents) / (1 + documents with it)), at least 0.05."""
-    counts = docs.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    total = np.zeros(BUCKETS + 1)
-    for row in counts:  # as many rows as buckets
-        total[row.bucket] = row.n
-    return np.maximum(np.log((1 + total[BUCKETS]) / (1 + total[:BUCKETS])), 0.05).astype(np.float32)
-
-
-def _passages(texts: list[str | None], idf: np.ndarray, vocabulary: Plain, size: int = 48) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """TF-IDF rows of length 1 in coordinates: row, bucket, value."""
-    ids, ends = vocabulary.encode(texts)
-    bucket = _buckets(vocabulary.hashed())[ids]
-    inside = np.arange(len(ids)) - np.repeat(ends[:-1], np.diff(ends))
-    row = np.cumsum(inside % size == 0) - 1
-    cell, count = np.unique(row * BUCKETS + bucket, return_counts=True)
-    row, bucket = cell // BUCKETS, cell % BUCKETS
-    value = count * idf[bucket]
-    norm = np.sqrt(np.bincount(row, value**2)) if len(row) else np.zeros(0)
-    return row, bucket, (value / norm[row] if len(row) else value).astype(np.float32)
-
-
-def _products(row: np.ndarray, bucket: np.ndarray, value: np.ndarray, right: np.ndarray) -> np.ndarray:
-    starts = np.searchsorted(row, np.arange(row[0], row[-1] + 1))
-    return np.add.reduceat(right[bucket] * value[:, None], starts, axis=0)
-
-
-def _sketch(batches: Iterator[pa.RecordBatch], idf: np.ndarray, right: np.ndarray, gram: bool) -> Iterator[pa.RecordBatch]:
-    vocabulary = Plain()
-    total = np.zeros((right.shape[1] if gram else BUCKETS, right.shape[1]))
+        for part, place, column, ends in columns.known(batch.column("text")):
+            doc = np.searchsorted(ends, place, "right") - 1
+            total += np.bincount(np.unique(doc * columns.size + column) % columns.size, minlength=columns.size)
+            total[0] += part.stop - part.start
+    used = np.nonzero(total)[0]
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["column", "n"])
+
+
+def inverse_frequencies(docs: DataFrame, columns: Columns) -> np.ndarray:
+    """The weight of each column: log((1 + documents) / (1 + documents with it)), at least 0.05; 0 for column 0."""
+    counts = docs.select("text").mapInArrow(lambda b: _frequencies(b, columns), "column long, n long").groupBy("column").agg(F.sum("n").alias("n"))
+    total = np.zeros(columns.size)
+    for row in counts.collect():  # as many rows as columns
+        total[row["column"]] = row.n
+    weight = np.maximum(np.log((1 + total[0]) / (1 + total)), 0.05).astype(np.float32)
+    weight[0] = 0
+    return weight
+
+
+def _passages(place: np.ndarray, column: np.ndarray, ends: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """TF-IDF rows of length 1 in coordinates: row, column, value, rows without a known word left out."""
+    doc = np.searchsorted(ends, place, "right") - 1
+    first = np.concatenate([[0], np.cumsum(-(-np.diff(ends) // PASSAGE))])
+    cell, count = np.unique((first[doc] + (place - ends[doc]) // PASSAGE) * len(idf) + column, return_counts=True)
+    row, column = np.divmod(cell, len(idf))
+    row = np.cumsum(np.diff(row, prepend=-1) > 0) - 1
+    value = count * idf[column]
+    norm = np.sqrt(np.bincount(row, value**2))
+    return row, column, (value / norm[row]).astype(np.float32)
+
+
+@tidy
+def _sketch(batches: Iterator[pa.RecordBatch], columns: Columns, idf: np.ndarray, right: np.ndarray) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(right.shape, np.float64)
     for batch in batches:
-        for part in slices(batch.num_rows, 500):
-            row, bucket, value = _passages(batch.column("text").slice(part.start, part.stop - part.start).to_pylist(), idf, vocabulary)
-            edges = np.searchsorted(row, np.arange(0, row[-1] + 1025, 1024)) if len(row) else []
-            for low, high in zip(edges[:-1], edges[1:], strict=True):  # 1024 passages at a time
-                some, b, v = row[low:high], bucket[low:high], value[low:high]
-                y = _products(some, b, v, right)
-                if gram:
-                    total += y.T @ y
-                else:
-                    order = np.argsort(b, kind="stable")
-                    used, starts = np.unique(b[order], return_index=True)
-                    total[used] += np.add.reduceat(y[some[order] - some[0]] * v[order, None], starts, axis=0)
+        for _, place, column, ends in columns.known(batch.column("text")):
+            if not len(place):
+                continue
+            row, column, value = _passages(place, column, ends, idf)
+            edges = np.searchsorted(row, np.arange(0, row[-1] + 513, 512))
+            for low, high in zip(edges[:-1], edges[1:], strict=True):  # 512 passages at a time
+                some, c, v = row[low:high], column[low:high], value[low:high, None]
+                starts = np.nonzero(np.diff(some, prepend=-1))[0]
+                product = np.add.reduceat(right[c] * v, starts, axis=0)
+                order = np.argsort(c, kind="stable")
+                starts = np.nonzero(np.diff(c[order], prepend=-1))[0]
+                total[c[order[starts]]] += np.add.reduceat(product[some[order] - some[0]] * v[order], starts, axis=0)
     blocks = [total[i : i + ROWS] for i in range(0, len(total), ROWS)]
     yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "data"])
 
@@ -124,22 +135,22 @@ def _summed(blocks: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": blocks.block[:1], "data": [total.tobytes()]})
 
 
-def _sum(rows: DataFrame, idf: np.ndarray, right: np.ndarray, gram: bool) -> np.ndarray:
-    parts = rows.mapInArrow(lambda b: _sketch(b, idf, right, gram), "block int, data binary").groupBy("block").applyInPandas(_summed, "block int, data binary")
-    found = {r.block: np.frombuffer(r.data) for r in parts.collect()}  # one small matrix, whatever the input
-    shape = right.shape[1]
-    return np.concatenate([found[k] for k in sorted(found)]).reshape(-1, shape) if found else np.zeros((shape if gram else BUCKETS, shape))
-
-
-def latent_space(docs: DataFrame, idf: np.ndarray, seed: int = 11) -> np.ndarray:
-    """The right singular vectors (BUCKETS x RANK) of the passages of all documents, by a randomised SVD."""
+def latent_space(docs: DataFrame, columns: Columns, idf: np.ndarray, seed: int = 11) -> np.ndarray:
+    """The first right singular vectors (columns x RANK at most) of the passages of all documents, by a randomised SVD in one pass."""
     rows = docs.select("text")
     rows = rows.coalesce(max(24, rows.rdd.getNumPartitions() // 16))  # each task sends one sketch
-    start = np.random.default_rng(seed).normal(size=(BUCKETS, RANK + 8)).astype(np.float32)
-    basis, _ = np.linalg.qr(_sum(rows, idf, start, False))
-    gram = _sum(rows, idf, basis.astype(np.float32), True)
-    _, vector = np.linalg.eigh(gram)
-    return (basis @ vector[:, ::-1][:, :RANK]).astype(np.float32)
+    width = min(RANK + 8, columns.size)
+    right = np.linalg.qr(np.random.default_rng(seed).normal(size=(columns.size, width)))[0].astype(np.float32)
+    parts = rows.mapInArrow(lambda b: _sketch(b, columns, idf, right), "block int, data binary").groupBy("block").applyInPandas(_summed, "block int, data binary")
+    found = {r.block: np.frombuffer(r.data) for r in parts.collect()}  # one matrix of columns x width, whatever the input
+    if not found:
+        return np.zeros((columns.size, 1), np.float32)
+    product = np.concatenate([found[k] for k in sorted(found)]).reshape(-1, width)
+    core = right.T.astype(np.float64) @ product  # G^T A^T A G; A^T A is product core^-1 product^T up to the rank
+    value, vector = np.linalg.eigh((core + core.T) / 2)
+    good = value > 1e-9 * max(value.max(), 1e-300)
+    vectors, _, _ = np.linalg.svd(product @ (vector[:, good] / np.sqrt(value[good])), full_matrices=False)
+    return np.ascontiguousarray(vectors[:, :RANK], np.float32) if good.any() else np.zeros((columns.size, 1), np.float32)
 
 
 def common_subsequence(a: list, b: list) -> int:
@@ -157,46 +168,40 @@ def common_subsequence(a: list, b: list) -> int:
 class Items:
     """Benchmark items in the latent space, and the rare words that a match can't do without."""
 
-    def __init__(self, rows: list, idf: np.ndarray, space: np.ndarray, min_words: int, share: float):
-        import xxhash
-
+    def __init__(self, rows: list, columns: Columns, idf: np.ndarray, space: np.ndarray, min_words: int, share: float):
+        self.columns = columns
         self.weighted = np.where(idf >= COMMON, idf**2, 0).astype(np.float32)[:, None] * space  # the weight of a word in the item and in the window
         self.levels = []  # rare words, and how many places of them a match must have at least
         self.ids, self.words, self.answers, vectors = [], [], [], []
         for item_id, text in rows:
-            words = [xxhash.xxh3_64_intdigest(w) for w in plain_words(text)]
+            words = columns.encode([text])[0]
             if len(words) < min_words:
                 continue
             last = plain_words((ANSWER.split((text or "").strip()) or [""])[-1])
             self.ids.append(item_id)
-            self.words.append(words)
-            self.answers.append(words[len(words) - len(last) :])
-            own = np.array(words, np.uint64)
-            weight = idf[_buckets(own)]
-            self.levels.append([(np.unique(own[weight > r]), need) for r in RARE if (need := int(np.ceil(share * len(words) - int((weight <= r).sum()) - 1e-9))) > 0])
-            v = self.weighted[_buckets(np.array(words, np.uint64))].sum(0)
+            self.words.append(words.tolist())
+            self.answers.append(words[len(words) - len(last) :].tolist())
+            weight = idf[words]
+            self.levels.append([(np.unique(words[weight > r]), need) for r in RARE if (need := int(np.ceil(share * len(words) - int((weight <= r).sum()) - 1e-9))) > 0])
+            v = self.weighted[words].sum(0)
             vectors.append(v / max(np.linalg.norm(v), 1e-9))
         self.vectors = np.array(vectors, np.float32).reshape(-1, space.shape[1])
-        # The items of each word of their rarest level, one word after the other.
-        some = [(levels or [(np.empty(0, np.uint64), 0)])[0] for levels in self.levels]
-        word = np.concatenate([w for w, _ in some]) if some else np.empty(0, np.uint64)
+        # The items of each column of their rarest level, one column after the other.
+        some = [(levels or [(np.empty(0, np.int32), 0)])[0] for levels in self.levels]
+        word = np.concatenate([w for w, _ in some]) if some else np.empty(0, np.int32)
         item = np.repeat(np.arange(len(some)), [len(w) for w, _ in some])
         self.of_word = item[np.argsort(word, kind="stable")]
-        self.key_words, first = np.unique(np.sort(word), return_index=True)
-        self.first = np.append(first, len(word))
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=columns.size))])
         self.need = np.array([n for _, n in some], np.int64)
         size = np.array([len(w) for w in self.words], np.int64)
         self.behind = np.maximum(1, np.round(size / BLOCK).astype(np.int64)) * BLOCK + size // 2 + BLOCK
 
-    def candidates(self, local: np.ndarray, short: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self, place: np.ndarray, column: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Item, document and first word (a multiple of BLOCK) of all windows with enough of the item's rarest words."""
-        none = (np.empty(0, np.int64),) * 3
-        if not len(self.key_words):
-            return none
-        at = np.searchsorted(self.key_words, local).clip(max=len(self.key_words) - 1)
-        place = np.nonzero((self.key_words[at] == local)[short])[0]
-        low, high = self.first[at[short[place]]], self.first[at[short[place]] + 1]
-        times = high - low
+        times = self.first[column + 1] - self.first[column]
+        hit = np.nonzero(times)[0]
+        place, column, times = place[hit], column[hit], times[hit]
+        low = self.first[column]
         place = np.repeat(place, times)
         item = self.of_word[np.repeat(low - np.cumsum(times) + times, times) + np.arange(len(place))]
         order = np.argsort(item, kind="stable")
@@ -208,7 +213,7 @@ class Items:
         good = (item[last] == item[here]) & (doc[last] == doc[here]) & (place[last] - place[here] < self.behind[item[here]] + BLOCK)
         here, last = here[good], last[good]
         if not len(here):
-            return none
+            return (np.empty(0, np.int64),) * 3
         item, doc = item[here], doc[here]
         p, q = place[here] - ends[doc], place[last] - ends[doc]
         low = np.maximum(0, (q - self.behind[item]) // BLOCK + 1)
@@ -222,79 +227,73 @@ class Items:
         """Cosine and place of the run of the item's length that is nearest to it."""
         n = min(len(self.words[item]), len(words))
         sums = np.zeros((len(words) + 1, self.weighted.shape[1]))
-        np.cumsum(self.weighted[_buckets(words)], axis=0, out=sums[1:])
+        np.cumsum(self.weighted[words], axis=0, out=sums[1:])
         runs = sums[n:] - sums[: len(sums) - n]
         near = runs @ self.vectors[item] / np.maximum(np.sqrt(np.einsum("ij,ij->i", runs, runs)), 1e-9)
         at = int(near.argmax())
         return float(near[at]), at
 
 
-def _search(batches: Iterator[pa.RecordBatch], items: Items, share: float) -> Iterator[pa.RecordBatch]:
-    vocabulary = Plain()
-    for batch in batches:
-        out = []
-        for part in slices(batch.num_rows, 800):
-            rows = batch.slice(part.start, part.stop - part.start)
-            ids, ends = vocabulary.encode(rows.column("text").to_pylist())
-            if not len(ids):
-                continue
-            hashes = vocabulary.hashed()
-            met = np.zeros(len(hashes), bool)
-            met[ids] = True
-            used = np.nonzero(met)[0]
-            local, same = np.unique(hashes[used], return_inverse=True)  # one word may come with several punctuations
-            number = np.zeros(len(hashes), np.int32)
-            number[used] = same
-            short = number[ids]
-            which, doc, start = items.candidates(local, short, ends)
-            if not len(which):
+class Places:
+    """The places of each column in a group of texts."""
+
+    def __init__(self, place: np.ndarray, column: np.ndarray, size: int):
+        self.at = place[np.argsort(column, kind="stable")]
+        self.first = np.concatenate([[0], np.cumsum(np.bincount(column, minlength=size))])
+
+    def of(self, columns: np.ndarray) -> np.ndarray:
+        return np.sort(np.concatenate([self.at[self.first[c] : self.first[c + 1]] for c in columns.tolist()]))
+
+
+def _matches(items: Items, place: np.ndarray, column: np.ndarray, ends: np.ndarray, share: float, least_cosine: float) -> dict[tuple[int, int], tuple[float, float, int]]:
+    """(document, item): share, cosine, minus the first word of the best window."""
+    found: dict[tuple[int, int], tuple[float, float, int]] = {}
+    which, doc, start = items.windows(place, column, ends)
+    if not len(which):
+        return found
+    places = Places(place, column, items.columns.size)
+    edges = np.append(np.nonzero(np.diff(which, prepend=-1))[0], len(which))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        item, of, at = int(which[a]), doc[a:b], ends[doc[a:b]] + start[a:b]
+        low = np.maximum(ends[of], at - BLOCK)
+        high = np.minimum(ends[of + 1], at + items.behind[item])
+        for rare, needed in items.levels[item]:
+            there = places.of(rare)
+            good = np.searchsorted(there, high) - np.searchsorted(there, low) >= needed
+            of, low, high = of[good], low[good], high[good]
+            if not len(of):
+                break
+        words, answer, own = items.words[item], items.answers[item], set(items.words[item])
+        for d, x, y in zip(of.tolist(), low.tolist(), high.tolist(), strict=True):
+            i, j = np.searchsorted(place, (x, y))
+            window = np.zeros(y - x, np.int32)
+            window[place[i:j] - x] = column[i:j]
+            near, word = items.nearest(item, window)
+            if near < least_cosine:
                 continue
+            around = [w for w in column[i:j].tolist() if w in own]
+            lcs = common_subsequence(words, around) / len(words)
+            if lcs >= share and 2 * common_subsequence(answer, around) >= len(answer):
+                found[d, item] = max(found.get((d, item), (0.0, -2.0, 0)), (lcs, near, -int(x - ends[d] + word)))
+    return found
 
-            order = np.argsort(short)  # the places of each word, one after the other
-            first = np.zeros(len(local) + 1, np.int64)
-            np.cumsum(np.bincount(short, minlength=len(local)), out=first[1:])
-
-            def places(words: np.ndarray, local: np.ndarray = local, order: np.ndarray = order, first: np.ndarray = first) -> np.ndarray:
-                at = np.searchsorted(local, words).clip(max=len(local) - 1)
-                some = [order[first[k] : first[k + 1]] for k in at[local[at] == words]]
-                return np.sort(np.concatenate(some)) if some else np.empty(0, np.int64)
-
-            found: dict[tuple[int, int], tuple[float, float, int]] = {}
-            edges = np.append(np.nonzero(np.diff(which, prepend=-1))[0], len(which))
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                item, of, at = int(which[a]), doc[a:b], ends[doc[a:b]] + start[a:b]
-                n = len(items.words[item])
-                low = np.maximum(ends[of], at - BLOCK)
-                high = np.minimum(ends[of + 1], at + items.behind[item])
-                for rare, needed in items.levels[item]:
-                    there = places(rare)
-                    good = np.searchsorted(there, high) - np.searchsorted(there, low) >= needed
-                    of, low, high = of[good], low[good], high[good]
-                    if not len(of):
-                        break
-                if not len(of):
-                    continue
-                hit = places(np.unique(np.array(items.words[item], np.uint64)))
-                word_at = local[short[hit]].tolist()
-                for d, x, y, i, j in zip(of.tolist(), low, high, np.searchsorted(hit, low), np.searchsorted(hit, high), strict=True):
-                    around = word_at[i:j]  # without the words that the item doesn't have
-                    lcs = common_subsequence(items.words[item], around) / n
-                    answer = items.answers[item]
-                    if lcs >= share and 2 * common_subsequence(answer, around) >= len(answer):
-                        near, word = items.nearest(item, local[short[x:y]])
-                        found[d, item] = max(found.get((d, item), (0.0, -2.0, 0)), (lcs, near, -int(x - ends[d] + word)))
-            ids_here = rows.column("doc_id").to_pylist()
-            out.extend((ids_here[d], items.ids[item], lcs, cos, -word) for (d, item), (lcs, cos, word) in sorted(found.items()))
+
+@tidy
+def _search(batches: Iterator[pa.RecordBatch], items: Items, share: float, least_cosine: float) -> Iterator[pa.RecordBatch]:
+    item_kind = pa.int64() if all(isinstance(i, int) for i in items.ids) else pa.string()
+    for batch in batches:
+        out = []
+        for part, place, column, ends in items.columns.known(batch.column("text")):
+            found = _matches(items, place, column, ends, share, least_cosine)
+            ids = batch.column("doc_id").slice(part.start, part.stop - part.start)
+            out.extend((ids[d].as_py(), items.ids[item], lcs, cos, -word) for (d, item), (lcs, cos, word) in sorted(found.items()))
         columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = [batch.schema.field("doc_id").type, None, pa.float64(), pa.float64(), pa.int64()]
-        kinds[1] = pa.int64() if all(isinstance(i, int) for i in items.ids) else pa.string()
+        kinds = [batch.schema.field("doc_id").type, item_kind, pa.float64(), pa.float64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "share", "cosine", "first_word"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, min_words: int = 8) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, min_words: int = 8, least_cosine: float = 0.4) -> DataFrame:
     """doc_id, item_id, share (of the item's words, in order), cosine, first_word of each document and item that it holds."""
-    idf = inverse_frequencies(docs)
-    space = latent_space(docs, idf)
     rows = docs.select("doc_id", "text")
     kind, item_kind = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     item_kind = "long" if item_kind in ("tinyint", "smallint", "int", "bigint") else "string"
@@ -302,8 +301,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.6, min_
     blocks = max(1, -(-items.count() // ITEMS))
     found = None
     for k in range(blocks):
-        queries = Items(sorted(tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()), idf, space, min_words, share)
-        part = rows.mapInArrow(lambda b, q=queries: _search(b, q, share), f"doc_id {kind}, item_id {item_kind}, share double, cosine double, first_word long")
+        queries = sorted((r.item_id, r.text or "") for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect())
+        columns = Columns([text for _, text in queries])
+        idf = inverse_frequencies(rows, columns)
+        search = Items(queries, columns, idf, latent_space(rows, columns, idf), min_words, share)
+        part = rows.mapInArrow(lambda b, q=search: _search(b, q, share, least_cosine), f"doc_id {kind}, item_id {item_kind}, share double, cosine double, first_word long")
         found = part if found is None else found.union(part)
     return found
 
