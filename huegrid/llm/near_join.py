@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from huegrid.llm.common import Vocabulary, mix, signed, slices, table, written
+from huegrid.llm.common import Vocabulary, by_size, mix, signed, slices, table, tidy, written
 
 #: Above so many candidate sets, their ids are joined by a shuffle instead of a broadcast (8 bytes each).
 BROADCAST_ROWS = 500_000
@@ -93,10 +93,11 @@ def _set_key(members: np.ndarray) -> int:
         return int(mix(mix(members).sum(dtype=np.uint64) + np.uint64(len(members)))) if len(members) else 0
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int, keys: bool) -> Iterator[pa.RecordBatch]:
     vocabulary = Vocabulary()
     for batch in batches:
-        for part in slices(batch.num_rows, 2000):
+        for part in by_size(batch.column("text")):
             rows = batch.slice(part.start, part.stop - part.start)
             ids, ends = vocabulary.encode(rows.column("text").to_pylist())
             hashes = vocabulary.hashed()
@@ -113,6 +114,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int, percent: int, keys: bool) -
                 yield pa.RecordBatch.from_arrays([pa.array(set_key), values], ["set_key", "members"])
 
 
+@tidy
 def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows a, b, x, y (sets a and b with their members): keep the linked pairs."""
     for batch in batches:
@@ -132,6 +134,7 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the edges (a, b) reaches, by alternating large and small stars.
+    The least neighbours are written, so that Spark may split the join of a star with many edges.
 
     Every round is a fixed number of joins and groupings, written to the shared folder; stars of any degree are summed
     map-side, and nothing comes to the driver but a count.
@@ -140,10 +143,10 @@ def components(edges: DataFrame) -> DataFrame:
     total = None
     while True:
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = down.groupBy("a").agg(F.min("b").alias("m"))
+        low = written(down.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = down.join(low, "a").where("b <> m").select("b", "m").union(low).toDF("a", "b").distinct()
         edges = written(small, "edges")
         # Done once there are stars only: each node has one smaller centre, and no centre has a centre of its own.
@@ -198,22 +201,25 @@ def _joining(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _families(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+def _families(open_: DataFrame, members: DataFrame, percent: int) -> DataFrame:  # open_: key, node, size, label, first
     """Links that join components which meet in a block. Blocks that overlap form a family, a family is cut into tiles
     of TILE sets by size, and each pair of tiles whose sizes allow a link is one product in one task."""
-    first = F.min("node").over(W.partitionBy("key"))
     nodes = open_.groupBy("node").agg(F.first("size").alias("size"), F.first("label").alias("label"))
-    family = components(open_.select(F.col("node").alias("a"), first.alias("b"))).withColumnRenamed("label", "family")
+    family = components(open_.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("label", "family")
     nodes = nodes.join(family, "node", "left").withColumn("family", F.coalesce("family", "node"))
-    place = F.row_number().over(W.partitionBy("family").orderBy("size", "node")) - 1
-    nodes = written(nodes.withColumn("tile", F.floor(place / TILE).cast("int")), "families")
+    nodes = written(nodes, "members")
+    # A place by size: that of the size (a window over the sizes of a family) and one by hash among the sets of this size.
+    sizes = nodes.groupBy("family", "size").agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.partitionBy("family").orderBy("size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    place = F.col("before") + F.pmod(F.xxhash64("node"), F.col("n"))
+    nodes = written(nodes.join(written(sizes, "sizes"), ["family", "size"]).withColumn("tile", F.floor(place / TILE).cast("int")).drop("n", "before"), "families")
     tiles = nodes.groupBy("family", "tile").agg(F.min("size").alias("low"), F.max("size").alias("high"))
     i, j = tiles.select("family", F.col("tile").alias("i"), "high"), tiles.select("family", F.col("tile").alias("j"), "low")
     pairs = i.join(j, "family").where(f"i <= j AND 100 * high >= {percent} * low").select("family", "i", "j")
     pairs = pairs.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("tile"))
     slots = max(1, nodes.count() // 1000)
-    alone = F.max("j").over(W.partitionBy("family")) == 0
-    pairs = pairs.withColumn("slot", F.when(alone, F.pmod(F.xxhash64("family"), F.lit(slots))).otherwise(F.col("family")))
+    pairs = pairs.join(tiles.groupBy("family").agg(F.max("tile").alias("top")), "family")
+    pairs = pairs.withColumn("slot", F.when(F.col("top") == 0, F.pmod(F.xxhash64("family"), F.lit(slots))).otherwise(F.col("family")))
     rows = nodes.join(pairs, ["family", "tile"]).join(members.withColumnRenamed("set_key", "node"), "node")
     rows = rows.select("slot", "family", "i", "j", "tile", "node", "label", "members")
     return rows.groupBy("slot", "i", "j").applyInPandas(lambda x: _joining(x, percent), "a long, b long")
@@ -227,14 +233,9 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     kind = source.schema["doc_id"].dataType.simpleString()
     sets = written(source.mapInArrow(lambda b: _sets(b, n, percent, True), f"doc_id {kind}, n_shingles long, set_key long, keys array<long>"), "sets")
     distinct = sets.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.first("keys").alias("keys"), F.first("n_shingles").alias("size"), F.min("doc_id").alias("doc_id"))
-    by_key = W.partitionBy("key")
-    blocks = (
-        distinct.select(F.explode("keys").alias("key"), F.col("set_key").alias("node"), "size")
-        .withColumns({"low": F.min("node").over(by_key), "high": F.max("node").over(by_key)})
-        .where("low <> high")
-        .select("key", "node", "size", "low")
-    )
-    blocks = written(blocks, "blocks")
+    keyed = distinct.select(F.explode("keys").alias("key"), F.col("set_key").alias("node"), "size")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key", "low")
+    blocks = written(keyed.join(written(shared, "keys"), "key").select("key", "node", "size", "low"), "blocks")
     inside = written(blocks.groupBy("node").agg(F.first("size").alias("size")), "inside")
     wanted = sets.join(inside.select(F.col("node").alias("set_key")), "set_key", "left_semi").groupBy("set_key").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     small = inside.count() <= BROADCAST_ROWS
@@ -255,8 +256,10 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     for turn in range(ROUNDS + 1):
         named = blocks.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         order = F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "size", "label")
-        named = named.withColumns({"l0": F.min("label").over(by_key), "l1": F.max("label").over(by_key), "hub": F.min(order).over(by_key)}).where("l0 <> l1")
-        open_ = written(named.select("key", "node", "size", "label", F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.label").alias("label_b")), "open")
+        named = written(named, "named")
+        hubs = named.groupBy("key").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min(order).alias("hub"), F.min("node").alias("first")).where("l0 <> l1")
+        hubs = written(hubs.select("key", "first", F.col("hub.node").alias("b"), F.col("hub.size").alias("size_b"), F.col("hub.label").alias("label_b")), "hubs")
+        open_ = written(named.select("key", "node", "size", "label").join(hubs, "key"), "open")
         if turn == ROUNDS:
             break
         star = open_.where("label <> label_b").withColumnRenamed("size", "size_a").where(fits).groupBy("node", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -266,7 +269,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
             continue
         links = links.union(found)
         label = components(links)
-    more = written(_families(open_.select("key", "node", "size", "label"), members, percent), "links")
+    more = written(_families(open_.select("key", "node", "size", "label", "first"), members, percent), "links")
     label = components(links.union(more))
     named = sets.select("doc_id", "n_shingles", "set_key").join(label, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_key"))
     grouped = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")

@@ -23,12 +23,13 @@ from collections import deque
 from collections.abc import Iterator
 from struct import pack
 
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from huegrid.llm.common import slices, table
+from huegrid.llm.common import by_size, table, tidy
 
 SEGMENT = re.compile(" ?[^ ]+")
 RARE_SPACE = re.compile(r"[^\S \n]")
@@ -48,7 +49,7 @@ class Encoder:
     The vocabulary is the file's own; its merges stand in the order of their ids, so ids serve as ranks. Pieces never
     cross a single space, so a text without other white space beside a space is encoded word by word."""
 
-    def __init__(self, path: str | None, limit: int = 1_000_000):
+    def __init__(self, path: str | None, limit: int = 300_000, longest: int = 64):
         import public_tokenizers
         import tiktoken
 
@@ -61,7 +62,7 @@ class Encoder:
         ranks = {bytes(map(byte_of.__getitem__, token)): i for token, i in model["vocab"].items() if token != special}
         self.encode_one = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.limit, self.longest = limit, longest  # words of more characters are not remembered
 
     @staticmethod
     def _splits(text: str) -> bool:
@@ -76,12 +77,14 @@ class Encoder:
         except KeyError:
             if len(known) > self.limit:
                 known.clear()
+            out = []
             for word in words:
-                if word not in known:
-                    ids = self.encode_one(word)
-                    known[word] = pack(f"<{len(ids)}I", *ids)
-            return b"".join(map(known.__getitem__, words))
-
+                if (ids := known.get(word)) is None:
+                    ids = np.array(self.encode_one(word), "<u4").tobytes()
+                    if len(word) <= self.longest:
+                        known[word] = ids
+                out.append(ids)
+            return b"".join(out)
 
     def encode_added(self, text: str) -> bytes:
         """As the tokenizer library does by default: added tokens inside the text are ids of their own, and what is between is encoded apart."""
@@ -181,6 +184,7 @@ class Packer:
                 self._emit(1 << bit, pieces)
 
 
+@tidy
 def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smallest: int, step_tokens: int, waiting: int, end_id: int, added_tokens: bool) -> Iterator[pa.RecordBatch]:
     context = TaskContext.get()
     packer = Packer(size, smallest, step_tokens, waiting, (context.partitionId() if context else 0) << 40)
@@ -196,7 +200,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, size: int, smal
         kind = batch.schema.field("doc_id").type
         encoder = encoder_of(path)
         encode = encoder.encode_added if added_tokens else encoder.encode
-        for part in slices(batch.num_rows, 512):
+        for part in by_size(batch.column("text")):
             some = batch.slice(part.start, part.stop - part.start)
             for doc, text in zip(some.column("doc_id").to_pylist(), some.column("text").to_pylist(), strict=True):
                 packer.add(doc, encode(text or "") + end)

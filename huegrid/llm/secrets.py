@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huegrid.llm.common import slices, table
+from huegrid.llm.common import slices, table, tidy
 
 LEAST, BESIDE = 16, 32
 CANDIDATE = re.compile(r"[A-Za-z0-9_+/=\-.~]{16,}")
@@ -61,6 +61,7 @@ def _triples(word: str) -> list[int]:
     return [a * 729 + b * 27 + c for a, b, c in zip(code, code[1:], code[2:], strict=False) if a and b and c]
 
 
+@tidy
 def _triple_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(KEY, np.int64)
     letters = np.zeros(256, np.int64)
@@ -183,6 +184,7 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
+@tidy
 def _list_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(c, b, a) for t in batch.column("text").to_pylist() for _, c, b, a in candidates(t)]
@@ -231,6 +233,7 @@ def _scan(texts: list[str | None], usual: np.ndarray, forest: Forest, least: flo
     return out
 
 
+@tidy
 def _findings(batches: Iterator[pa.RecordBatch], usual: np.ndarray, forest: Forest, least: float) -> Iterator[pa.RecordBatch]:
     import hashlib
 

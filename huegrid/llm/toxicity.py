@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from huegrid.llm.common import Vocabulary, doc_bucket, slices, table, words_of
+from huegrid.llm.common import Vocabulary, by_size, doc_bucket, slices, table, tidy, words_of
 
 SPAN, DECAY, WIDTH = 6, 0.6, 24
 OFFSETS = [(i, j) for j in range(2, SPAN) for i in range(1, j)]
@@ -285,14 +285,15 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, held_out: int
     return fit([r.text for r in rows], [r.toxic for r in rows])
 
 
+@tidy
 def _scores(batches: Iterator[pa.RecordBatch], model: Model, name: str, keep: list[str]) -> Iterator[pa.RecordBatch]:
-    vocabulary, margin = Vocabulary(800_000), np.empty(0)
+    vocabulary, margin, turn = Vocabulary(), np.empty(0), 0
     for batch in batches:
-        for part in slices(batch.num_rows, 1000):
+        for part in by_size(batch.column("text")):
             rows = batch.slice(part.start, part.stop - part.start)
             ids, ends = vocabulary.encode([joined_spacing(t) for t in rows.column("text").to_pylist()])
-            if len(margin) > len(vocabulary.ids):
-                margin = np.empty(0)
+            if turn != vocabulary.turn:
+                margin, turn = np.empty(0), vocabulary.turn
             margin = np.concatenate([margin, model.margins(vocabulary.words(len(margin)))])
             best, count = np.full(rows.num_rows, -3.0), np.zeros(rows.num_rows)
             for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
