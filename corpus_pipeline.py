@@ -27,12 +27,13 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest doc_id stays (once, if its row is repeated)."""
-    name = clear_columns(docs, ())
-    groups = near_join.jaccard_groups(docs, n=3, percent=90)
-    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias(name)).distinct()
-    with_id = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return with_id.join(kept, F.col("doc_id") == F.col(name), "left_semi").union(docs.where("doc_id IS NULL"))
+    """Of each group of linked documents, the one with the smallest doc_id (and hash of its text) stays, once if its row is repeated."""
+    key = F.struct("doc_id", F.xxhash64("text").alias("text"))
+    named = docs.where("doc_id IS NOT NULL").select(key.alias("key"), F.struct("*").alias("row"))
+    groups = near_join.jaccard_groups(named.select(F.col("key").alias("doc_id"), "row.text"), n=3, percent=90)
+    kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("key")).distinct()
+    rows = named.join(kept, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
+    return rows.union(docs.where("doc_id IS NULL"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
