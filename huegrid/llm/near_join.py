@@ -273,7 +273,7 @@ def jaccard_groups(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     label = components(links.union(more))
     named = sets.select("doc_id", "n_shingles", "set_key").join(label, F.col("set_key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "set_key"))
     grouped = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
-    least = named.where(grouped).groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    least = written(named.where(grouped).groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
     full = named.where(grouped).join(least, "label").select("doc_id", "n_shingles", "component_id")
     return full.union(named.where(~grouped).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
