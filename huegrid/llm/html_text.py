@@ -6,8 +6,9 @@ without one where a block begins or ends; only scripts, styles and frames withou
 words (hashed), its length, link share and place. A bidirectional LSTM in numpy reads the whole sequence, so that every
 block is labelled with the context of all others, and blocks above one half are kept in page order.
 
-The network is trained on at most ``sample`` pages (the first by a hash of their id) with labels from their own markup
-(inside article or main, outside navigation, footers, adverts, forms and comments), and on variants of these pages in
+The network is trained on at most ``sample`` pages (the first by a hash of their id, of those with at most ``most``
+characters), in stretches of ``longest`` blocks, with labels from their own markup (inside article or main, outside
+navigation, footers, adverts, forms and comments; pages without such marks teach nothing), and on variants of these pages in
 which containers are renamed and menus, notices, sidebars, adverts, forms and reader comments are put around and into the
 text, so that no single tag decides. Every page is labelled by the network over its whole html.
 
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huegrid.llm.common import slices, table
+from huegrid.llm.common import by_size, slices, table, tidy
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -69,11 +70,43 @@ PATH, WORDS, HIDDEN = 40, 32, 20
 INPUT = PATH + WORDS + 8
 
 
+class Element:
+    """An open element: its names, those it is in, and what all of them say together."""
+
+    __slots__ = ("inside", "links", "main", "names", "other", "tag", "vector")
+
+    def __init__(self, inside: Element | None, tag: str, names: tuple[str, ...]):
+        self.inside, self.tag, self.names = inside, tag, names
+        plain = {n.lstrip(".") for n in names}
+        self.main, self.other = bool(plain & MAIN) or inside is not None and inside.main, bool(plain & OTHER) or inside is not None and inside.other
+        self.links = (tag == "a") + (inside.links if inside else 0)
+        self.vector = inside.vector.copy() if inside else np.zeros(PATH, np.float32)
+        for name in names:
+            k, sign = _place(name, PATH)
+            self.vector[k] += sign
+
+
 class Block(NamedTuple):
-    path: tuple[str, ...]  # names of open elements; classes and ids as .name
+    element: Element | None
     text: str
     links: float  # share of its characters inside links
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Names of all open elements, classes and ids as .name, from the outermost on."""
+        names, element = [], self.element
+        while element:
+            names.append(element.names)
+            element = element.inside
+        return tuple(n for some in reversed(names) for n in some)
+
+
+def block(path: tuple[str, ...], text: str, links: float) -> Block:
+    element = None
+    for name in path:
+        element = Element(element, name, (name,))
+    return Block(element, text, links)
+
 
 def _names(tag: str, rest: str) -> tuple[str, ...]:
     names = [tag]
@@ -117,36 +150,59 @@ def _raw_end(page: str, m: re.Match, missing: set[str]) -> int:
     return len(page) if name in RAW else at
 
 
+BARRIERS = ("article", "body", "main", "section")
+
+
+class Stack:
+    """The open elements, with the places of each name, so that no tag has to walk over them."""
+
+    def __init__(self):
+        self.open: list[Element] = []
+        self.places: dict[str, list[int]] = {}
+
+    def top(self) -> Element | None:
+        return self.open[-1] if self.open else None
+
+    def last(self, name: str) -> int:
+        return (self.places.get(name) or [-1])[-1]
+
+    def push(self, name: str, names: tuple[str, ...]) -> None:
+        self.places.setdefault(name, []).append(len(self.open))
+        self.open.append(Element(self.top(), name, names))
+
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().tag].pop()
+
+
 def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = Stack()
     pieces: list[str] = []
-    linked = total = depth = at = 0
+    linked = total = at = 0
 
     def close() -> None:
         nonlocal pieces, linked, total
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split()) if len(pieces) == 1 else " ".join("".join(map(html.unescape, pieces)).split())
             if text:
-                out.append(Block(tuple(n for _, names in stack for n in names), text, linked / max(1, total)))
+                out.append(Block(stack.top(), text, linked / max(1, total)))
         pieces, linked, total = [], 0, 0
 
     missing: set[str] = set()
     while m := TAG.search(page, at):
         if m.start() > at:
-            piece = page[at : m.start()]
-            pieces.append(piece)
-            size = len(piece)
-            total += size
-            linked += size if depth else 0
+            pieces.append(page[at : m.start()])
+            total += m.start() - at
+            linked += m.start() - at if stack.open and stack.open[-1].links else 0
         at = m.end()
         name = m["name"] or m["name2"]
         if not name:
             if m["raw"]:
                 at = _raw_end(page, m, missing)
-                if not m["raw"].lower().startswith("annotation"):
+                if m["raw"].lower() == "head":  # other elements without text may stand inside a block
                     close()
             continue
         name = name.lower()
@@ -156,30 +212,25 @@ def blocks_of(page: str | None) -> list[Block]:
         if name in BLOCKS:
             close()
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
-                if stack[k][0] in ("article", "body", "main", "section") and name not in ("article", "body", "main", "section", "html", "div"):
-                    break
+            k = stack.last(name)
+            if k >= 0 and (name in (*BARRIERS, "html", "div") or k >= max(map(stack.last, BARRIERS))):
+                stack.cut(k)
         elif name not in VOID:
-            if name in BLOCKS and (open_p := next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)) is not None:
-                del stack[open_p:]
-            if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
-                stack.pop()
+            if name in BLOCKS and (open_p := stack.last("p")) >= 0:
+                stack.cut(open_p)
+            if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack.open and stack.open[-1].tag == name:
+                stack.cut(len(stack.open) - 1)
             rest = m["rest"] if m["name"] else m["rest2"]
             if not rest.endswith("/"):
-                stack.append((name, _names(name, rest)))
-        depth = sum(n == "a" for n, _ in stack)
+                stack.push(name, _names(name, rest))
     if at < len(page):
         pieces.append(page[at:])
     close()
     return out
 
 
-def markup_label(block: Block) -> int:
-    names = {n.lstrip(".") for n in block.path}
-    return int(bool(names & MAIN) and not names & OTHER)
+def markup_label(found: Block) -> int:
+    return int(found.element is not None and found.element.main and not found.element.other)
 
 
 _PLACE: dict[str, tuple[int, float]] = {}
@@ -200,9 +251,10 @@ def features(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), INPUT), np.float32)
     for i, b in enumerate(blocks):
         row = out[i]
-        for name in b.path:
-            k, sign = _place(name, PATH)
-            row[k] += sign
+        last = b.element.names if b.element else ()
+        before = b.element.inside.names[-1:] if b.element and b.element.inside and len(last) < 2 else ()
+        if b.element:
+            row[:PATH] = b.element.vector
         words = b.text.lower().split()
         places = [_place(w, WORDS) for w in words]
         row[PATH : PATH + WORDS] = np.bincount([k for k, _ in places], [s for _, s in places], WORDS) / max(1.0, len(words) ** 0.5) / 4
@@ -212,8 +264,8 @@ def features(blocks: list[Block]) -> np.ndarray:
             b.links,
             sum(map(b.text.count, ".!?")) / max(1, len(words)),
             i / len(blocks),
-            float(bool({"h1", "h2", "h3", "h4"} & set(b.path[-1:]))),
-            float(b.path[-1:] == ("p",) or "p" in b.path[-2:]),
+            float(bool({"h1", "h2", "h3", "h4"} & set(last[-1:]))),
+            float("p" in (*before, *last[-2:])),
             np.log1p(len(blocks)) / 6,
         )
     return out
@@ -353,7 +405,7 @@ def variant(blocks: list[Block], others: list[str], random: np.random.Generator)
         words = others[random.integers(len(others))].split() if others else ["x"]
         link = path[-1] == "a"
         size = random.integers(1, 4) if link or path[-1] in ("label", "button") else random.integers(3, 60)
-        return Block(("html", "body", *inside, *path), " ".join(words[:size]), 1.0 if link else 0.0)
+        return block(("html", "body", *inside, *path), " ".join(words[:size]), 1.0 if link else 0.0)
 
     def some(paths: list, most: int) -> list[Block]:
         out = []
@@ -368,13 +420,14 @@ def variant(blocks: list[Block], others: list[str], random: np.random.Generator)
         if random.random() < 0.06:
             made.append(other((("div", ".ad"), ("aside", "p"), ("div", ".advert", "p"), ("div", ".promo"))[random.integers(4)], root))
             labels.append(0)
-        leaf = b.path[max((i for i, n in enumerate(b.path) if n in MAIN), default=-1) + 1 :] or ("p",)
+        path = b.path
+        leaf = path[max((i for i, n in enumerate(path) if n in MAIN), default=-1) + 1 :] or ("p",)
         text = b.text
         if random.random() < 0.2:
             leaf = LEAVES[random.integers(len(LEAVES))]
         if random.random() < 0.3:
             text = " ".join(text.split()[: random.integers(2, 14)])
-        made.append(Block(("html", "body", *root, *leaf), text, b.links))
+        made.append(block(("html", "body", *root, *leaf), text, b.links))
         labels.append(1)
     tail = some(AFTER, 4)
     return made + tail, labels + [0] * len(tail)
@@ -385,13 +438,16 @@ def train(pages: list[str | None], variants: int = 5, longest: int = 150, seed:
     read = [b for b in map(blocks_of, pages) if b]
     others = [b.text for page in read for b in page]
     rows = []
+
+    def add(page: list[Block], labels: list[int]) -> None:
+        x, y = features(page), np.array(labels, np.float32)
+        rows.extend((x[part], y[part]) for part in slices(len(page), longest))
+
     for page in read:
-        page = page[:longest]  # of a training page; pages to label are read whole
-        rows.append((features(page), np.array([markup_label(b) for b in page], np.float32)))
-        if any(map(markup_label, page)):
+        if any(labels := [markup_label(b) for b in page]):  # without marks, a page doesn't tell what is main text
+            add(page, labels)
             for _ in range(variants):
-                made, labels = variant(page, others, random)
-                rows.append((features(made), np.array(labels, np.float32)))
+                add(*variant(page, others, random))
     return Labeller().fit(rows) if rows else Labeller()
 
 
@@ -401,19 +457,20 @@ def main_texts(pages: list[str | None], labeller: Labeller) -> list[str]:
     return ["\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k) for blocks, keep in zip(read, kept, strict=True)]
 
 
+@tidy
 def _texts(batches: Iterator[pa.RecordBatch], labeller: Labeller) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in slices(batch.num_rows, 256):
+        for part in by_size(batch.column("html"), 1 << 20):
             rows = batch.slice(part.start, part.stop - part.start)
             texts = main_texts(rows.column("html").to_pylist(), labeller)
             yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, labeller: Labeller | None = None, sample: int = 200) -> DataFrame:
+def extract(pages: DataFrame, labeller: Labeller | None = None, sample: int = 200, most: int = 1 << 20) -> DataFrame:
     """page_id, url, text, n_chars of every page; without a labeller, one is trained on the pages' own markup."""
     rows = pages.select("page_id", "url", "html")
     if labeller is None:
-        there = rows.where("html IS NOT NULL AND page_id IS NOT NULL")
+        there = rows.where("html IS NOT NULL AND page_id IS NOT NULL").where(F.length("html") <= most)
         chosen = there.select("page_id").distinct().orderBy(F.xxhash64("page_id"), "page_id").limit(sample)
         some = there.join(F.broadcast(chosen), "page_id", "left_semi").dropDuplicates(["page_id"]).select("page_id", "html")  # ``sample`` pages
         labeller = train([r.html for r in sorted(some.collect(), key=lambda r: r.page_id)])
