@@ -10,7 +10,8 @@ of a document labelled 1 the sentence with the highest margin is positive, repre
 fitted function folds into one weight for each character triple, so scoring a word costs a few dozen look-ups.
 A document's score is a logistic function of its highest margin and of the number of words above zero.
 
-The fit uses at most ``sample`` labelled documents a class (the first ones by a hash of their id); scoring covers every
+The fit uses at most ``sample`` labelled documents a class (the first ones by a hash of their id, of those with at most
+``longest`` characters); scoring covers every
 word of every document. Nothing but the text enters a score.
 
 Defined results: null and empty texts score like a text without offending words; rows with a null id are scored and not
@@ -102,11 +103,12 @@ def _linear(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def _features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The normed feature vectors in coordinates: row (word), code, value. Only the first row of long words."""
+def _features(words: list[bytes], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The normed feature vectors in coordinates: row (word), code, value; of a long word, the row with the highest product with the weights."""
     matrix, owner = word_matrix(words)
-    _, first = np.unique(owner, return_index=True)
-    matrix = matrix[first]
+    total = np.zeros(len(matrix)) if weights is None else sum(w * np.where(there, weights[codes], 0).sum(1) for codes, there, w in subsequences(matrix)) / _norms(matrix)
+    order = np.lexsort((-total, owner))
+    matrix = matrix[order[np.unique(owner[order], return_index=True)[1]]]
     norms, parts = _norms(matrix), []
     for codes, there, weight in subsequences(matrix):
         row, at = np.nonzero(there)
@@ -231,7 +233,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds
         chosen, times = np.unique(witness, return_counts=True)
         marks = np.concatenate([chosen[np.argsort(-times, kind="stable")[: landmarks // 2]], random.choice(hard, min(len(hard), landmarks // 2), replace=False)]) if len(hard) else chosen[:landmarks]
         marks = np.unique(marks)
-        mrow, mcode, mvalue = _features([words[k] for k in marks])
+        mrow, mcode, mvalue = _features([words[k] for k in marks], weights)
         used, compact = np.unique(mcode, return_inverse=True)
         space = np.zeros((len(used) + 1, len(marks)), np.float32)
         np.add.at(space, (compact, mrow), mvalue)
@@ -242,7 +244,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds
         rows = np.concatenate([witness, hard])
         k = np.zeros((len(rows), len(marks)), np.float32)
         for part in slices(len(rows), 400):
-            r, c, v = _features([words[i] for i in rows[part]])
+            r, c, v = _features([words[i] for i in rows[part]], weights)
             at = np.searchsorted(used, c)
             at[(at == len(used)) | (used[np.minimum(at, len(used) - 1)] != c)] = len(used)
             keep = at < len(used)
@@ -267,7 +269,7 @@ def fit(texts: list[str | None], labels: list[int], landmarks: int = 160, rounds
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, held_out: int | None = 5) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, held_out: int | None = 5, longest: int = 200_000) -> DataFrame:
     """(text, toxic) of at most ``sample`` labelled documents of each class, the first by a hash of their id."""
     rows = labels.select("doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)")
     if held_out:
@@ -277,7 +279,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, sample: int, held_out: i
     for label in (0, 1):
         part = rows.where(F.col("toxic") == label).orderBy("o", "doc_id").limit(sample).select("doc_id", "toxic")
         some = part if some is None else some.union(part)
-    return docs.select("doc_id", "text").join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
+    return docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= longest).join(F.broadcast(some.dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 1500, held_out: int | None = 5) -> Model:
@@ -309,6 +311,8 @@ def _scores(batches: Iterator[pa.RecordBatch], model: Model, name: str, keep: li
 def with_score(docs: DataFrame, model: Model, name: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of docs (all of them by default) and the score of every row, without a shuffle."""
     keep = docs.columns if keep is None else keep
+    if name in keep:
+        raise ValueError(f"documents have a column {name} already; give the score another name")
     rows = docs.select(*dict.fromkeys([*keep, "text"]))
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField(name, T.DoubleType())])
     return rows.mapInArrow(lambda b: _scores(b, model, name, keep), schema)
