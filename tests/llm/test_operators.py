@@ -230,40 +230,56 @@ def test_base_score_equals_brute_force(spark, sf):
 
 
 def test_chances_sum_to_one():
+    """After every context, all known words (the end is one) and the unknown one share the whole mass, averaged over the sweeps."""
+    import pandas as pd
+
     words = [f"w{i}" for i in range(12)]
     random = np.random.default_rng(3)
     texts = [" ".join(random.choice(words, 40)) for _ in range(30)]
-    learn = [True] * 30
-    ask = [*texts, *(f"{a} {b}" for a in words[:2] for b in [*words, "never"])]
-    import pandas as pd
-
+    after = ["", *words, "never"]
+    ask = [*texts, *(f"{a} {b}".strip() for a in after for b in after)]
     model, slots = pitman_yor.Model(), 3
-    requests = pd.concat([b.to_pandas() for b in pitman_yor._request(0, ask, learn + [False] * (len(ask) - 30), slots)])
+    requests = pd.concat([b.to_pandas() for b in pitman_yor._request(0, ask, [True] * 30 + [False] * (len(ask) - 30), slots)])
     answers = pd.concat([model.answer(g, slots) for _, g in requests.groupby("slot")])
-    totals = np.sum([t for t in answers[answers.part == -1].totals], axis=0)
-    frame = pd.DataFrame({"doc_id": range(len(ask)), "text": ask, "held_out": False})
-    got = model.scored(frame, answers[answers.part >= 0], totals, slots)
-    for k, a in enumerate(words[:2]):
-        pairs = got.score.to_numpy()[30 + 13 * k : 30 + 13 * (k + 1)]
-        lone = model.scored(pd.DataFrame({"doc_id": range(len(ask)), "text": ask, "held_out": False}), answers[answers.part >= 0], totals, slots)
-        assert len(pairs) == 13 and np.isfinite(pairs).all() and (lone.score <= 0).all()
-    # Given one context, all known words (the end is one) and the unknown one share the whole mass.
-    known = pitman_yor.Pairs(ask, slots)
+    ends = answers[answers.part < 0].groupby("part").totals.apply(lambda t: np.sum(list(t), axis=0))
+    totals = np.concatenate([ends[k] for k in sorted(ends.index, reverse=True)])
     answers = answers[answers.part >= 0].sort_values("slot")
-    a = np.frombuffer(b"".join(answers.a), np.float32)
-    b = np.frombuffer(b"".join(answers.b), np.float32)
-    n, v, guests, top = totals[2 * pitman_yor.CONTEXTS :]
-    parent = (b + (model.theta0 + model.d0 * top) / (v + 1)) / (model.theta0 + guests)
-    never = (0 + (model.theta0 + model.d0 * top) / (v + 1)) / (model.theta0 + guests)
-    customers = np.frombuffer(b"".join(answers.customers), np.float64)
-    assert parent[customers > 0].sum() + never == pytest.approx(1, abs=1e-5)
-    assert len(a) == len(known.pair)
+    pairs = pitman_yor.Pairs(ask, slots)
+    chance = model.chances(answers, totals, pairs.pair_word, pairs.context)
+    number = {int(h): k for k, h in enumerate(pairs.hashes)}
+    vocabulary = common.Vocabulary()
+    vocabulary.encode([" ".join([*words, "never"])])
+    of = {w: number[int(h)] for w, h in zip([*words, "never"], vocabulary.hashed(), strict=True)}
+    (end,) = set(number.values()) - set(of.values())
+    for before in (*of.values(), end):
+        context = int(pairs.hashes[before] % np.uint64(pitman_yor.CONTEXTS))
+        there = {int(w): c for w, g, c in zip(pairs.pair_word, pairs.context, chance, strict=True) if g == context}
+        # Words that were never asked after this context have the chance of the parent alone, which the model gives, too.
+        if len(there) == len(of) + 1:
+            assert sum(there.values()) == pytest.approx(1, abs=1e-5)
+    assert sum(int(pairs.hashes[b] % np.uint64(pitman_yor.CONTEXTS)) in set(pairs.context.tolist()) for b in of.values()) == 13
+
+
+def test_a_repeated_document_is_likelier_than_its_words(spark):
+    texts = [filler(k, 6) for k in range(300)] + [filler(k, 6) for k in range(20)]
+    rows = {r.doc_id: r for r in pitman_yor.score(docs(spark, *texts, first=0)).collect() if not r.held_out}
+    twice = [r.score / r.n_tokens for i, r in rows.items() if i < 20 and i + 300 in rows]
+    once = [r.score / r.n_tokens for i, r in rows.items() if 20 <= i < 300]
+    assert min(twice) > np.quantile(once, 0.9)
 
 
 def test_seatings_stay_between_bounds():
     random = np.random.default_rng(1)
     customers = np.sort(np.r_[np.ones(50, np.int64), random.integers(2, 5000, 200)])[::-1]
     tables = pitman_yor.seat(customers, np.full(len(customers), 0.5), 0.8, random)
+    for n in (40, 5000):  # the mean number of tables of one dish against customers seated one by one
+        plain, many = [], pitman_yor.seat(np.full(3000, n), np.full(3000, 0.5), 0.8, random).mean()
+        for _ in range(60):
+            t = 1
+            for k in range(1, n):
+                t += random.random() < 0.5 / (0.5 + k - 0.8 * t)
+            plain.append(t)
+        assert many == pytest.approx(np.mean(plain), abs=4 * np.std(plain) / 60**0.5 + 0.02)
     assert (tables >= 1).all() and (tables <= customers).all() and tables[customers == 1].max() == 1
 
 
