@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 from huegrid.operators.maps import PIXEL, _moved
 
-CROSS = [(0, 0), (0, 1), (1, 0), (0, -1), (-1, 0)]
-
-
 def otsu_thresholds(counts: DataFrame, bins: int) -> DataFrame:
     """sample_id, low, high: the two cuts of a histogram (sample_id, bin, n) that maximise the variance between three classes.
 
@@ -37,28 +34,39 @@ def otsu_thresholds(counts: DataFrame, bins: int) -> DataFrame:
     return rows.groupBy("sample_id").agg(best.alias("b")).select("sample_id", F.col("b.low").cast("long").alias("low"), F.col("b.high").cast("long").alias("high"))
 
 
-def eroded(mask: DataFrame, height: int, width: int) -> DataFrame:
-    """Pixels whose four neighbours are in the mask, too; what lies outside the image counts as mask."""
-    hits = _moved(mask.select(*PIXEL), CROSS).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n"))
-    edge = sum(((c).cast("int") for c in (F.col("pixel_row") == 0, F.col("pixel_row") == height - 1, F.col("pixel_col") == 0, F.col("pixel_col") == width - 1)), F.lit(0))
-    inside = F.col("pixel_row").between(0, height - 1) & F.col("pixel_col").between(0, width - 1)
-    return hits.where(inside & (F.col("n") + edge == 5)).select(*PIXEL)
+def disk(radius: int) -> list[tuple[int, int]]:
+    reach = range(-radius, radius + 1)
+    return [(a, b) for a in reach for b in reach if a * a + b * b <= radius * radius]
+
+
+def eroded(mask: DataFrame, height: int, width: int, radius: int = 1) -> DataFrame:
+    """Pixels whose neighbours within the radius are in the mask, too; what lies outside the image counts as mask."""
+    row, col = F.col("pixel_row"), F.col("pixel_col")
+    hits = _moved(mask.select(*PIXEL), disk(radius)).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n"))
+    inside = lambda a, b: (row + a).between(0, height - 1) & (col + b).between(0, width - 1)
+    needed = sum((inside(a, b).cast("int") for a, b in disk(radius)), F.lit(0))
+    return hits.where(inside(0, 0) & (F.col("n") == needed)).select(*PIXEL)
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """mask with ``component``: the smallest (row, col) number reached over 4-neighbours, by runs and repeated minima.
+def components(mask: DataFrame, neighbours: int = 4) -> DataFrame:
+    """mask with ``component``: the smallest (row, col) number reached over 4 or 8 neighbours, by runs and repeated minima.
 
     Runs of a row are found by a window first, so that the minima travel over runs and not over pixels; each round is
     written to the shared checkpoint folder and halves what is left by pointer jumping."""
     spark = mask.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="huegrid-ck-" + uuid.uuid4().hex[:6]))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="huegrid-ck-" + uuid.uuid4().hex[:6]))
     line = W.partitionBy("sample_id", "pixel_row").orderBy("pixel_col")
     start = F.col("pixel_col") - F.row_number().over(line)
     runs = mask.select(*PIXEL).withColumn("_s", start)
     first = F.min("pixel_col").over(W.partitionBy("sample_id", "pixel_row", "_s"))
-    runs = runs.withColumn("run", F.col("pixel_row") * F.lit(1 << 20) + first).drop("_s").checkpoint()
+    runs = runs.withColumn("run", F.col("pixel_row").cast("long") * F.lit(1 << 20) + first).drop("_s").checkpoint()
     down = runs.select("sample_id", (F.col("pixel_row") + 1).alias("pixel_row"), "pixel_col", F.col("run").alias("above"))
+    if neighbours == 8:
+        down = _moved(down, [(0, -1), (0, 0), (0, 1)])
     edges = runs.join(down, PIXEL).select("sample_id", F.col("run").alias("a"), F.col("above").alias("b")).distinct()
     edges = edges.union(edges.select("sample_id", "b", "a")).checkpoint()
     label = runs.select("sample_id", F.col("run").alias("a")).distinct().withColumn("l", F.col("a")).checkpoint()

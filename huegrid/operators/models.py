@@ -25,6 +25,15 @@ def assigned(rows: DataFrame, centers: DataFrame, x: str = "x") -> DataFrame:
     return rows.crossJoin(F.broadcast(all_)).withColumn("label", -F.array_max(near)["k"]).drop("_c")
 
 
+def assigned_each(rows: DataFrame, centers: DataFrame, x: str = "x") -> DataFrame:
+    """rows once for each k of the centres (k, cluster, center), with its label: all sets of centres in one pass."""
+    sets = centers.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("cluster", "center"))).alias("c"))
+    all_ = sets.agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("_c"))  # as many vectors as there are centres
+    best = lambda s: -F.array_max(F.transform(s["c"], lambda c: F.struct(spectra.cosine(F.col(x), c["center"]).alias("s"), (-c["cluster"]).alias("k"))))["k"]
+    found = F.transform("_c", lambda s: F.struct(s["k"].alias("k"), best(s).alias("label")))
+    return rows.crossJoin(F.broadcast(all_)).select(*rows.columns, F.inline(found))
+
+
 def cosine_kmeans(rows: DataFrame, k: int, key: str, x: str = "x", iterations: int = 20, tolerance: float = 1e-4, seed: int = 1) -> DataFrame:
     """(cluster, center) after Lloyd's steps on the unit sphere. Each step is one grouped sum; k vectors come back."""
     unit = rows.select(key, spectra.unit(F.col(x)).alias("u")).where("u IS NOT NULL").persist()
@@ -61,13 +70,16 @@ def pca(rows: DataFrame, components: int, x: str = "x") -> tuple[np.ndarray, np.
             if m is not None:
                 n, s, g = n + len(m), m.sum(0) if s is None else s + m.sum(0), m.T @ m if g is None else g + m.T @ m
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "g": [g.ravel().tolist()]})
-
-    parts = rows.select(x).mapInPandas(grams, "n long, s array<double>, g array<double>")
-    n = parts.agg(F.sum("n")).first()[0] or 0
-    summed = lambda c: [r.v for r in parts.select(F.posexplode(c).alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()]
-    mean = np.array(summed("s")) / n
-    cov = np.array(summed("g")).reshape(len(mean), -1) / n - np.outer(mean, mean)
+            yield pd.DataFrame({"v": [[float(n), *s.tolist(), *g.ravel().tolist()]]})
+
+    parts = rows.select(x).mapInPandas(grams, "v array<double>")
+    total = parts.select(F.posexplode("v").alias("k", "v")).groupBy("k").agg(F.sum("v").alias("v")).orderBy("k").collect()  # 1 + bands + bands^2
+    if not total:
+        raise ValueError("no rows to fit")
+    n, *sums = (r.v for r in total)
+    bands = round((4 * len(sums) + 1) ** 0.5 - 1) // 2
+    mean = np.array(sums[:bands]) / n
+    cov = np.array(sums[bands:]).reshape(bands, bands) / n - np.outer(mean, mean)
     _, vectors = np.linalg.eigh(cov)
     v = vectors[:, ::-1][:, :components].T
     return mean, v * np.sign(v[np.arange(len(v)), np.abs(v).argmax(1)])[:, None]
@@ -86,7 +98,7 @@ def overlap_ratio(table: DataFrame, left: str = "l1", right: str = "l2") -> Data
 
 
 def best_assignment(weight: np.ndarray) -> list[int]:
-    """The column of each row that maximises the sum, by dynamic programming over sets of columns (14 labels at most)."""
+    """The column of each row that maximises the sum, by dynamic programming over sets of columns (16 labels at most)."""
     rows, cols = weight.shape
     if rows > cols or cols > 16:
         raise ValueError("rows must not exceed columns, of which there are 16 at most")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,11 +26,36 @@ def shift_draws(rows: DataFrame, key: str, draws: int, reach: float, x: str = "x
     return out.withColumn("_d", delta).withColumn(x, spectra.recentred(spectra.shifted(F.col(x), F.col("_d")), norm)).drop("_d")
 
 
-def flip_counts(clean: DataFrame, perturbed: DataFrame, centers: DataFrame, key: str, x: str = "x") -> DataFrame:
-    """sample_id, draw, pixels, flips: labels against those of the unperturbed rows, for the same fixed centres."""
-    before = assigned(clean, centers, x).select(key, F.col("label").alias("clean_label"))
-    after = assigned(perturbed, centers, x).select(key, "sample_id", "draw", "label")
-    return after.join(before, key).groupBy("sample_id", "draw").agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("label") != F.col("clean_label")).alias("flips"))
+KINDS = ("noise", "shift", "both")
+
+
+def normal_noise(key: str, bands: Column) -> Column:
+    """Independent standard normal numbers, one a band, from the SHA-256 of key, draw and band (Box and Muller)."""
+
+    def one(b: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit("noise"), F.col(key).cast("string"), F.col("draw").cast("string"), b.cast("string")).cast("binary"), 256)
+        part = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("double")
+        return F.sqrt(-2 * F.log((part(1) + 1) / 4294967297.0)) * F.cos(2 * math.pi * part(9) / 4294967296.0)
+
+    return F.transform(F.sequence(F.lit(0), bands - 1), one)
+
+
+def perturbed(rows: DataFrame, key: str, draws: int = 5, reach: float = 2.0, angles: tuple[float, float] = (0.5, 3.0), x: str = "x") -> DataFrame:
+    """Each row ``draws`` times for each of KINDS (columns kind, draw): turned by an angle (degrees) towards normal noise,
+    shifted by -reach..reach bands, or turned and then shifted; mean zero and the norm are kept."""
+    cases = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(d).cast("long").alias("draw")) for k in KINDS for d in range(1, draws + 1)))
+    out = rows.select("*", F.inline(cases))
+    theta = F.radians(unit_hash(F.lit("angle"), F.col(key), F.col("draw")) * (angles[1] - angles[0]) + angles[0])
+    delta = (unit_hash(F.lit("shift"), F.col(key), F.col("draw")) * 2 - 1) * reach
+    turned = F.when(F.col("kind") != "shift", spectra.rotated(F.col(x), normal_noise(key, F.size(x)), theta)).otherwise(F.col(x))
+    out = out.withColumns({"_n": F.sqrt(spectra.dot(F.col(x), F.col(x))), "_d": delta, x: turned})
+    return out.withColumn(x, F.when(F.col("kind") != "noise", spectra.recentred(spectra.shifted(F.col(x), F.col("_d")), F.col("_n"))).otherwise(F.col(x))).drop("_n", "_d")
+
+
+def flip_counts(clean: DataFrame, draws: Callable[[DataFrame], DataFrame], centers: DataFrame, x: str = "x", by: tuple[str, ...] = ("sample_id", "draw")) -> DataFrame:
+    """``by``, pixels, flips: labels of the perturbed rows against their own before, for the same fixed centres; no join."""
+    before = assigned(clean, centers, x).withColumnRenamed("label", "clean_label")
+    return assigned(draws(before), centers, x).groupBy(*by).agg(F.count(F.lit(1)).alias("pixels"), F.count_if(F.col("label") != F.col("clean_label")).alias("flips"))
 
 
 def flip_rates(counts: DataFrame, draws: int) -> DataFrame:

@@ -13,7 +13,7 @@ def purpose_seed(namespace: str, root: int, purpose: str, *context: Column) -> C
     return F.conv(F.substring(F.sha2(text.cast("binary"), 256), 1, 8), 16, 10).cast("long")
 
 
-def seed_plan(spark: SparkSession, purposes: list[str], folds: int, repeats: int, namespace: str = "huegrid", root: int = 20260905) -> DataFrame:
+def seed_plan(spark: SparkSession, purposes: list[str], folds: int, repeats: int, namespace: str = "huegrid", root: int = 1) -> DataFrame:
     grid = spark.range(1, folds + 1).toDF("fold").crossJoin(spark.range(1, repeats + 1).toDF("repeat"))
     cases = [F.struct(F.lit(p).alias("purpose"), purpose_seed(namespace, root, p, F.col("fold"), F.col("repeat")).alias("seed")) for p in purposes]
     return grid.select("fold", "repeat", F.inline(F.array(*cases)))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from huegrid.functions import spectra as S
 from huegrid.operators import maps as M
-from huegrid.operators import masks, models, perturbation, quality, sampling, summaries
+from huegrid.operators import agreement, masks, models, perturbation, quality, relations, sampling, summaries
 from huegrid.sources import views as V
 from huegrid.sources.views import with_views
 
@@ -196,17 +196,16 @@ TRIPLES = [(1, 0, 0), (0, 1, 0), (1, 1, 0), (2, 1, 0), (1, 2, 0), (3, 1, 0), (1,
     "boundary_frequency",
     "WITH v AS (SELECT sample_id, pixel_row, pixel_col, t.k AS map, 1 + (l1 * t.a + l2 * t.b + pixel_row * t.c) % 8 AS label FROM maps, (VALUES "
     + ", ".join(f"({k}, {a}, {b}, {c})" for k, (a, b, c) in enumerate(TRIPLES))
-    + """) AS t(k, a, b, c) WHERE pixel_row < 12),
+    + """) AS t(k, a, b, c)),
 e AS (SELECT a.map, a.sample_id, a.pixel_row + b.pixel_row AS i, a.pixel_col + b.pixel_col AS j FROM v a JOIN v b ON a.map = b.map AND a.sample_id = b.sample_id AND a.label <> b.label
   AND ((b.pixel_row = a.pixel_row AND b.pixel_col = a.pixel_col + 1) OR (b.pixel_col = a.pixel_col AND b.pixel_row = a.pixel_row + 1))),
-h AS (SELECT DISTINCT v.sample_id, v.pixel_row, v.pixel_col, e.map FROM (SELECT DISTINCT sample_id, pixel_row, pixel_col FROM v) v JOIN e ON e.sample_id = v.sample_id AND abs(2 * v.pixel_row - e.i) <= 2 AND abs(2 * v.pixel_col - e.j) <= 2)
+h AS (SELECT DISTINCT sample_id, (i + u) // 2 AS pixel_row, (j + w) // 2 AS pixel_col, map FROM e, range(-2, 3) a(u), range(-2, 3) b(w) WHERE (i + u) % 2 = 0 AND (j + w) % 2 = 0)
 SELECT p.sample_id, p.pixel_row, p.pixel_col, round(count(h.map) / 9.0::DOUBLE, 6) AS frequency FROM (SELECT DISTINCT sample_id, pixel_row, pixel_col FROM v) p LEFT JOIN h USING (sample_id, pixel_row, pixel_col) GROUP BY ALL""",
     "maps",
 )
 def boundary_frequency(spark, sf_dir):
-    """Over the top twelve rows of every tile."""
     at = F.array(*(F.struct(F.lit(k).alias("map"), (1 + (F.col("l1") * a + F.col("l2") * b + F.col("pixel_row") * c) % 8).alias("label")) for k, (a, b, c) in enumerate(TRIPLES)))
-    rows = V.maps(spark, sf_dir).where("pixel_row < 12").select("sample_id", "pixel_row", "pixel_col", F.inline(at))
+    rows = V.maps(spark, sf_dir).select("sample_id", "pixel_row", "pixel_col", F.inline(at))
     return rounded(M.boundary_frequency(rows, 9, 3), "frequency")
 
 
@@ -425,14 +424,106 @@ def assign_fixed_centers(spark, sf_dir):
 )
 def lfr_shift(spark, sf_dir):
     rows = _x(spark, sf_dir).select("vec_id", "sample_id", "x")
-    counts = perturbation.flip_counts(rows, perturbation.shift_draws(rows, "vec_id", 1, 2.0), _centers(spark, sf_dir), "vec_id")
+    counts = perturbation.flip_counts(rows, lambda x: perturbation.shift_draws(x, "vec_id", 1, 2.0), _centers(spark, sf_dir))
     return rounded(perturbation.flip_rates(counts, 1), "flip_rate")
 
 
-@query("lfr_by_draw")
+DRAWN = f"""WITH {CENTERS}, h0 AS (SELECT vec_id, sample_id, x, kind, draw, sqrt(list_dot_product(x, x)) AS r,
+  radians(('0x' || substr(sha256('angle|' || vec_id || '|' || draw), 1, 8))::BIGINT::DOUBLE / 4294967296.0 * 2.5 + 0.5) AS theta,
+  ((('0x' || substr(sha256('shift|' || vec_id || '|' || draw), 1, 8))::BIGINT::DOUBLE / 4294967296.0) * 2 - 1) * 2.0 AS d,
+  list_transform(range(0, 64), lambda b: sqrt(-2 * ln((('0x' || substr(sha256('noise|' || vec_id || '|' || draw || '|' || b), 1, 8))::BIGINT::DOUBLE + 1) / 4294967297.0))
+    * cos(2 * pi() * ('0x' || substr(sha256('noise|' || vec_id || '|' || draw || '|' || b), 9, 8))::BIGINT::DOUBLE / 4294967296.0)) AS e
+  FROM px, (VALUES ('noise'), ('shift'), ('both')) k(kind), range(1, 6) t(draw)),
+h1 AS (SELECT *, list_transform(x, lambda v: v / r) AS n, list_transform(e, lambda v: v - list_avg(e)) AS o FROM h0),
+h2 AS (SELECT *, list_transform(range(1, 65), lambda i: o[i] - list_dot_product(o, n) * n[i]) AS q FROM h1),
+h3 AS (SELECT vec_id, sample_id, kind, draw, d, r, CASE WHEN kind = 'shift' THEN x ELSE list_transform(range(1, 65), lambda i: r * (cos(theta) * n[i] + sin(theta) * q[i] / sqrt(list_dot_product(q, q)))) END AS x FROM h2),
+h4 AS (SELECT *, list_transform(range(0, 64), lambda j: least(greatest(j - d, 0.0), 63.0)) AS z FROM h3),
+h5 AS (SELECT *, list_transform(z, lambda p: x[least(floor(p)::BIGINT, 62) + 1] * (1 - (p - least(floor(p)::BIGINT, 62))) + x[least(floor(p)::BIGINT, 62) + 2] * (p - least(floor(p)::BIGINT, 62))) AS w FROM h4),
+h6 AS (SELECT *, list_transform(w, lambda v: v - list_avg(w)) AS c FROM h5),
+s AS (SELECT vec_id, sample_id, kind, draw, CASE WHEN kind = 'noise' THEN x ELSE list_transform(c, lambda v: v / sqrt(list_dot_product(c, c)) * r) END AS y FROM h6)
+"""
+
+
+@query(
+    "lfr_by_draw",
+    DRAWN
+    + """, a AS (SELECT vec_id, arg_max(kc, (list_cosine_similarity(x, c), -kc)) AS l FROM px, kk GROUP BY 1),
+b AS (SELECT vec_id, sample_id, draw, arg_max(kc, (list_cosine_similarity(y, c), -kc)) AS l FROM s, kk WHERE kind = 'shift' GROUP BY ALL)
+SELECT sample_id, draw, count(*) AS pixels, count(*) FILTER (a.l <> b.l) AS flips FROM a JOIN b USING (vec_id) GROUP BY ALL""",
+    "px",
+)
 def lfr_by_draw(spark, sf_dir):
     rows = _x(spark, sf_dir).select("vec_id", "sample_id", "x")
-    return perturbation.flip_counts(rows, perturbation.shift_draws(rows, "vec_id", 5, 2.0), _centers(spark, sf_dir), "vec_id")
+    return perturbation.flip_counts(rows, lambda x: perturbation.shift_draws(x, "vec_id", 5, 2.0), _centers(spark, sf_dir))
+
+
+@query(
+    "lfr_kinds",
+    DRAWN
+    + """, a AS (SELECT vec_id, arg_max(kc, (list_cosine_similarity(x, c), -kc)) AS l FROM px, kk GROUP BY 1),
+b AS (SELECT vec_id, sample_id, kind, draw, arg_max(kc, (list_cosine_similarity(y, c), -kc)) AS l FROM s, kk GROUP BY ALL)
+SELECT sample_id, kind, draw, count(*) AS pixels, count(*) FILTER (a.l <> b.l) AS flips FROM a JOIN b USING (vec_id) GROUP BY ALL""",
+    "px",
+)
+def lfr_kinds(spark, sf_dir):
+    rows = _x(spark, sf_dir).select("vec_id", "sample_id", "x")
+    return perturbation.flip_counts(rows, lambda x: perturbation.perturbed(x, "vec_id"), _centers(spark, sf_dir), by=("sample_id", "kind", "draw"))
+
+
+@query("assign_each_k", f"WITH {CENTERS} SELECT vec_id, k, arg_max(kc, (list_cosine_similarity(x, c), -kc)) AS label FROM px, kk, range(2, 9) t(k) WHERE kc <= k GROUP BY ALL", "px")
+def assign_each_k(spark, sf_dir):
+    """With the first k of the centres, for every k."""
+    k = F.explode(F.sequence(F.greatest(F.lit(2).cast("long"), F.col("cluster")), F.lit(8).cast("long")))
+    return models.assigned_each(_x(spark, sf_dir), _centers(spark, sf_dir).where("cluster <= 8").withColumn("k", k)).select("vec_id", "k", "label")
+
+
+@query("label_accuracy", "SELECT sample_id, count(*) AS rows, round(100 * avg((l1 = l2)::INT), 6) + 0.0 AS accuracy FROM maps GROUP BY 1", "maps")
+def label_accuracy(spark, sf_dir):
+    return rounded(agreement.accuracy(V.maps(spark, sf_dir), "l1", "l2", ("sample_id",)), "accuracy")
+
+
+@query(
+    "cluster_agreement",
+    """WITH c AS (SELECT l1, l2, count(*)::DOUBLE AS n FROM maps GROUP BY ALL), t AS (SELECT sum(n) AS t FROM c),
+f AS (SELECT a AS l1, b AS l2, coalesce(n, 0) AS n FROM range(1, 6) x(a), range(1, 6) y(b) LEFT JOIN c ON l1 = a AND l2 = b),
+m AS (SELECT max(p.n + q.n + r.n + s.n + u.n) AS m FROM f p, f q, f r, f s, f u WHERE p.l1 = 1 AND q.l1 = 2 AND r.l1 = 3 AND s.l1 = 4 AND u.l1 = 5
+  AND p.l2 NOT IN (q.l2, r.l2, s.l2, u.l2) AND q.l2 NOT IN (r.l2, s.l2, u.l2) AND r.l2 NOT IN (s.l2, u.l2) AND s.l2 <> u.l2),
+a AS (SELECT l1, sum(n) AS a FROM c GROUP BY 1), b AS (SELECT l2, sum(n) AS b FROM c GROUP BY 1),
+i AS (SELECT sum(n / t * ln(n * t / (a * b))) AS i FROM c JOIN a USING (l1) JOIN b USING (l2), t),
+h AS (SELECT (SELECT -sum(a / t * ln(a / t)) FROM a, t) AS ha, (SELECT -sum(b / t * ln(b / t)) FROM b, t) AS hb),
+k AS (SELECT a, b, t, unnest(range(greatest(1, a + b - t)::BIGINT, least(a, b)::BIGINT + 1))::DOUBLE AS k FROM a, b, t),
+e AS (SELECT sum(k / t * ln(t * k / (a * b)) * exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(t - a + 1) + lgamma(t - b + 1) - lgamma(t + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1)
+  - lgamma(t - a - b + k + 1))) AS e FROM k)
+SELECT t::BIGINT AS rows, round(100 * m / t, 6) AS acc, round(100 * i / ((ha + hb) / 2), 6) AS nmi, round(100 * (i - e) / (greatest(ha, hb) - e), 6) + 0.0 AS ami FROM t, m, i, h, e""",
+    "maps",
+)
+def cluster_agreement(spark, sf_dir):
+    return rounded(agreement.cluster_agreement(M.contingency(V.maps(spark, sf_dir)), 5), "acc", "nmi", "ami")
+
+
+@query("parts_without_large_lines", "SELECT p_partkey, p_size FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 48)")
+def parts_without_large_lines(spark, sf_dir):
+    large = V.table(spark, sf_dir, "lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("p_partkey"))
+    return relations.complement(V.table(spark, sf_dir, "part").select("p_partkey", "p_size"), large, ["p_partkey"])
+
+
+@query("orders_by_nation", "SELECT n_name, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def orders_by_nation(spark, sf_dir):
+    """Look-ups that must match: an order without its customer would end the job."""
+    orders = V.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    customers = relations.looked_up(orders, V.table(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("n_nationkey")), ["c_custkey"])
+    return relations.looked_up(customers, V.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), ["n_nationkey"]).groupBy("n_name").agg(F.count(F.lit(1)).alias("orders"))
+
+
+@query(
+    "partition_rules",
+    """WITH p AS (SELECT DISTINCT l_returnflag AS part, l_orderkey AS k FROM lineitem WHERE l_returnflag IN ('A', 'R')), n AS (SELECT k, count(*) AS n FROM p GROUP BY 1)
+SELECT 'overlap' AS rule, count(*) AS n FROM n WHERE n > 1 UNION ALL SELECT 'missing', count(DISTINCT o_orderkey) FROM orders WHERE o_orderkey NOT IN (SELECT k FROM n)
+UNION ALL SELECT 'unknown', count(*) FROM n WHERE k NOT IN (SELECT o_orderkey FROM orders)""",
+)
+def partition_rules(spark, sf_dir):
+    parts = V.table(spark, sf_dir, "lineitem").where("l_returnflag IN ('A', 'R')").select(F.col("l_returnflag").alias("part"), F.col("l_orderkey").alias("k"))
+    return relations.partition_violations(parts, V.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "part", "k")
 
 
 @query("cosine_kmeans")
@@ -683,6 +774,18 @@ def erode_mask(spark, sf_dir):
     return masks.eroded(V.maps(spark, sf_dir), 64, 64)
 
 
+@query(
+    "erode_radius2",
+    """WITH o AS (SELECT u, w FROM range(-2, 3) a(u), range(-2, 3) b(w) WHERE u * u + w * w <= 4),
+k AS (SELECT r AS pixel_row, c AS pixel_col, count(*) AS needed FROM range(64) x(r), range(64) y(c), o WHERE r + u BETWEEN 0 AND 63 AND c + w BETWEEN 0 AND 63 GROUP BY ALL),
+n AS (SELECT m.sample_id, m.pixel_row, m.pixel_col, count(*) AS n FROM maps m, o JOIN maps d ON d.sample_id = m.sample_id AND d.pixel_row = m.pixel_row + u AND d.pixel_col = m.pixel_col + w GROUP BY ALL)
+SELECT sample_id, pixel_row, pixel_col FROM n JOIN k USING (pixel_row, pixel_col) WHERE n = needed""",
+    "maps",
+)
+def erode_radius2(spark, sf_dir):
+    return masks.eroded(V.maps(spark, sf_dir), 64, 64, 2)
+
+
 @query(
     "components",
     """WITH b AS (SELECT sample_id, pixel_row, pixel_col, pixel_row * 1048576 + pixel_col AS k FROM maps WHERE l1 = 1),
@@ -700,6 +803,12 @@ def components(spark, sf_dir):
 ORACLE_SQL["components"] = ORACLE_SQL["components"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query("components8", ORACLE_SQL["components"].replace("abs(b.pixel_row - r.pixel_row) + abs(b.pixel_col - r.pixel_col) = 1", "greatest(abs(b.pixel_row - r.pixel_row), abs(b.pixel_col - r.pixel_col)) = 1"))
+def components8(spark, sf_dir):
+    """Of the pixels with label 1, corners joined."""
+    return masks.component_records(masks.components(V.maps(spark, sf_dir).where("l1 = 1"), 8), 64, 64)
+
+
 @query(
     "multi_otsu",
     """WITH h AS (SELECT o_orderpriority AS sample_id, least(floor(o_totalprice / 8000)::BIGINT, 63) AS bin, count(*)::DOUBLE AS n FROM orders GROUP BY ALL),
@@ -723,7 +832,7 @@ def unmatched_parts(spark, sf_dir):
     return V.table(spark, sf_dir, "part").select("p_partkey").join(used, "p_partkey", "left_anti")
 
 
-@query("event_properties", "SELECT event_type, (props->>'$.k')::BIGINT AS k, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY ALL")
+@query("event_properties", "SELECT event_type, (props->>'$.k')::BIGINT AS k, count(*) AS n, round(avg(value), 8) AS mean FROM events GROUP BY ALL")
 def event_properties(spark, sf_dir):
     rows = V.table(spark, sf_dir, "events").select("event_type", F.get_json_object("props", "$.k").cast("long").alias("k"), "value")
-    return rounded(rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), "mean", digits=4)
+    return rounded(rows.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), "mean", digits=8)

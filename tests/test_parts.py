@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from huegrid.functions import spectra as S
-from huegrid.operators import masks, models, quality, sampling, summaries
+from huegrid.operators import agreement, masks, models, quality, relations, sampling, summaries
 from huegrid.sources import artifacts, envi
 from huegrid.streaming import accumulators
 
@@ -120,6 +120,51 @@ def test_cutoff_marks_low_bands_inside(spark):
     assert got == {0: (True, False), 1: (True, True), 2: (True, False), 3: (False, False), 4: (False, False)}
 
 
+def test_agreement_of_equal_and_swapped_labels(spark):
+    rows = spark.createDataFrame([(1, 2), (1, 2), (2, 1), (2, 1), (3, 3), (3, 3)], "l1 long, l2 long")
+    (r,) = agreement.cluster_agreement(rows.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("n")), 3).collect()
+    assert (r.rows, r.acc) == (6, 100) and r.nmi == pytest.approx(100) and r.ami == pytest.approx(100)
+    assert agreement.accuracy(rows, "l1", "l2").first().accuracy == pytest.approx(100 / 3)
+
+
+def test_expected_information_against_permutations():
+
+    x, y = [0, 0, 0, 1, 1, 2], [0, 0, 1, 1, 2, 2]
+    found = []
+    for p in set(itertools.permutations(y)):
+        table = np.zeros((3, 3))
+        np.add.at(table, (x, list(p)), 1)
+        i, j = np.nonzero(table)
+        found.append((table[i, j] / 6 * np.log(6 * table[i, j] / (table.sum(1)[i] * table.sum(0)[j]))).sum())
+    assert agreement.expected_information(np.bincount(x), np.bincount(y)) == pytest.approx(np.mean(found))
+
+
+def test_lookups_compositions_and_large_images(spark):
+    left = spark.createDataFrame([(1, "a"), (2, "b")], "k long, v string")
+    assert relations.looked_up(left, spark.createDataFrame([(1, 5), (2, 6)], "k long, w long"), ["k"]).count() == 2
+    with pytest.raises(Exception, match="no match for"):
+        relations.looked_up(left, spark.createDataFrame([(1, 5)], "k long, w long"), ["k"]).collect()
+    first = spark.createDataFrame([(1, 2), (2, 1), (3, 9)], "a long, b long")
+    second = spark.createDataFrame([(1, 7), (2, 8)], "a long, b long")
+    assert sorted(tuple(r) for r in relations.composed(first, second).where("target IS NOT NULL").collect()) == [(1, 8), (2, 7)]
+    far = spark.createDataFrame([(1, 3000, 5), (1, 3001, 6)], "sample_id long, pixel_row int, pixel_col int")
+    assert len({r.component for r in masks.components(far).collect()}) == 2 and len({r.component for r in masks.components(far, 8).collect()}) == 1
+
+
+def test_counts_over_streams(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 1, 3, 3), (1, 1, 3, 4), (1, 2, 5, 5)], "sample_id long, draw long, label long, clean_label long")
+    rows.write.parquet(str(tmp_path / "flips"))
+    events = spark.createDataFrame([("2024-01-01 00:10:00", "a", 1.0), ("2024-01-01 00:50:00", "a", 2.0), ("2024-01-01 01:10:00", "a", 4.0)], "ts string, event_type string, value double")
+    events.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value").write.parquet(str(tmp_path / "events"))
+    for name, make in (("flips", accumulators.flip_stream), ("events", accumulators.events_per_window)):
+        read = spark.readStream.schema(spark.read.parquet(str(tmp_path / name)).schema).parquet(str(tmp_path / name))
+        run = make(read).writeStream.outputMode("complete").format("memory").queryName(f"{name}_test").option("checkpointLocation", str(tmp_path / f"ck-{name}")).start()
+        run.processAllAvailable()
+        run.stop()
+    assert sorted(tuple(r) for r in spark.table("flips_test").collect()) == [(1, 1, 2, 1), (1, 2, 1, 0)]
+    assert sorted((r.n, r.total) for r in spark.table("events_test").collect()) == [(1, 4.0), (2, 3.0)]
+
+
 def test_occupancy_over_a_stream(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (2, 1)], "sample_id long, label long")
     rows.write.parquet(str(tmp_path / "in"))
