@@ -88,3 +88,25 @@ def wide(scores: DataFrame, repeats: list[int]) -> DataFrame:
     """One row for each condition and sample, one column for each repeat."""
     out = scores.groupBy("condition", "sample_id").pivot("repeat", repeats).agg(F.first("value", ignorenulls=True))
     return out.select("condition", "sample_id", *(F.col(str(r)).alias(f"repeat_{r}") for r in repeats))
+
+
+def paired_tables(scores: DataFrame, condition: str, reference: str, repeats: int = 3) -> DataFrame:
+    """Summaries of two conditions and their difference over the samples that both define in every repeat, with the samples left out."""
+    two = scores.where(F.col("condition").isin(condition, reference))
+    defined = two.groupBy("sample_id").agg(F.count("value").alias("n"))
+    common = two.join(defined.where(F.col("n") == 2 * repeats), "sample_id", "left_semi").select("condition", "sample_id", "repeat", "value")
+    difference = combined(common, {condition: 1, reference: -1}).withColumn("condition", F.lit(f"{condition}-{reference}"))
+    samples = F.count_if(F.col("n") < 2 * repeats).alias("excluded_samples")
+    return repeat_summary(common.unionByName(difference), ["condition"], repeats).crossJoin(F.broadcast(defined.agg(samples)))  # one row
+
+
+def flat_summary(summary: DataFrame, by: list[str], unit: str) -> DataFrame:
+    """One row for each statistic of a summary: by, statistic, value, unit."""
+    return summary.unpivot(by, ["mean", "sample_sd", "repeat_sd"], "statistic", "value").withColumn("unit", F.lit(unit))
+
+
+def best_variant(scores: DataFrame, order: list[str]) -> DataFrame:
+    """condition, mean: the condition of the greatest mean, not rounded; the first in ``order`` on ties; others don't take part."""
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("condition"))
+    means = scores.where(F.col("condition").isin(*order)).groupBy("condition").agg(F.avg("value").alias("mean")).where("mean IS NOT NULL")
+    return means.agg(F.max_by(F.struct("condition", "mean"), F.struct("mean", -place)).alias("b")).where("b IS NOT NULL").select("b.*")

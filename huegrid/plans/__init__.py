@@ -1,0 +1,3 @@
+"""The registered queries; all of them are in queries.QUERIES."""
+
+from huegrid.plans import queries, record_queries  # noqa: F401
