@@ -137,10 +137,12 @@ def centroids(rows: DataFrame, label: str, a: Column, b: Column, labels: int) ->
 
 
 def density(rows: DataFrame, a: Column, b: Column, bins: int) -> DataFrame:
-    """Counts on bins x bins squares over the smallest square that starts at the least of both coordinates: bin_a, bin_b, n."""
+    """Counts on bins x bins squares over the smallest square that starts at the least of both coordinates: bin_a, bin_b, n.
+
+    Points that are all the same, and nulls, count in square 0."""
     points = rows.select(a.alias("a"), b.alias("b"))
     ends = points.agg(F.min("a").alias("a0"), F.min("b").alias("b0"), F.greatest(F.max("a") - F.min("a"), F.max("b") - F.min("b")).alias("side"))
-    at = lambda v, low: F.coalesce(F.least(F.floor(F.try_divide((F.col(v) - F.col(low)) * bins, F.col("side"))), F.lit(bins - 1)), F.lit(0)).cast("long")
+    at = lambda v, low: F.least(F.coalesce(F.floor(F.try_divide((F.col(v) - F.col(low)) * bins, F.col("side"))), F.lit(0)), F.lit(bins - 1)).cast("long")
     return points.crossJoin(F.broadcast(ends)).groupBy(at("a", "a0").alias("bin_a"), at("b", "b0").alias("bin_b")).agg(F.count(F.lit(1)).alias("n"))  # one row
 
 
