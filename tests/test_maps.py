@@ -86,3 +86,21 @@ def test_silhouette_of_two_orthogonal_pairs(spark):
 def test_violations(spark):
     bad = image(spark, [1, 9]).union(image(spark, [1]))
     assert sorted(r.rule for r in M.violations(bad, 8).collect()) == ["duplicate_pixel", "duplicate_pixel", "label_out_of_range"]
+
+
+@pytest.mark.parametrize("width", [3, 9])
+def test_window_counts_are_twice_the_pairs_that_meet(spark, width):
+    rows = [(s, (7 * k * s) % 23, (5 * k) % 19, k % 3 if k % 11 else None) for s in (1, 2) for k in range(150)]
+    rows += rows[:20] + [(1, None, 3, 1), (1, 4, None, 1), (None, 1, 1, 1), (3, 0, 0, 1)]  # copies, null places, a lone pixel
+    for kind in ("int", "long"):
+        labels = spark.createDataFrame(rows, f"sample_id {kind}, pixel_row {kind}, pixel_col {kind}, label long")
+        got = {}
+        for r in M.window_counts(labels, width).collect():
+            others, alike = got.get(r.sample_id, (0, 0))
+            got[r.sample_id] = others + r.others, alike + r.alike
+        want = {1: [0, 0], 2: [0, 0], 3: [0, 0]}
+        for r in M.neighbour_pairs(labels, width).collect():
+            want[r.sample_id][0] += 2
+            want[r.sample_id][1] += 2 * (r.label is not None and r.label == r.other)
+        assert got == {s: tuple(v) for s, v in want.items()}
+    assert M.window_counts(labels.limit(0), width).count() == 0
