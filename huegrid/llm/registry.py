@@ -9,6 +9,7 @@ from huegrid.llm.media import op6_media_columns
 from huegrid.llm.near_join import op8_ngram_jaccard
 from huegrid.llm.packing import op1_packing
 from huegrid.llm.pitman_yor import op3_lm_scoring
+from huegrid.llm.quality_rules import OP11_SQL, op11_quality_rules
 from huegrid.llm.secrets import op10_secret_scan
 from huegrid.llm.spans import op4_substring_dedup
 from huegrid.llm.toxicity import op7_toxicity
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
+    "op11_quality_rules": op11_quality_rules,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_quality_rules": OP11_SQL,
     "op5_chat_formatting": r"""
 WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
