@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from huegrid.llm.alignment import op12_tokenizer_alignment
 from huegrid.llm.chat import op5_chat_formatting
 from huegrid.llm.decontamination import op9_benchmark_decontamination
 from huegrid.llm.html_text import op2_html_extraction
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_secret_scan": op10_secret_scan,
     "op11_quality_rules": op11_quality_rules,
+    "op12_tokenizer_alignment": op12_tokenizer_alignment,
 }
 
 ORACLE_SQL: dict[str, str] = {
