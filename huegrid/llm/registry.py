@@ -7,6 +7,7 @@ from huegrid.llm.chat import op5_chat_formatting
 from huegrid.llm.decontamination import op9_benchmark_decontamination
 from huegrid.llm.html_text import op2_html_extraction
 from huegrid.llm.media import op6_media_columns
+from huegrid.llm.merkle import OP13_SQL, op13_merkle_manifest
 from huegrid.llm.near_join import op8_ngram_jaccard
 from huegrid.llm.packing import op1_packing
 from huegrid.llm.pitman_yor import op3_lm_scoring
@@ -28,10 +29,12 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_quality_rules": op11_quality_rules,
     "op12_tokenizer_alignment": op12_tokenizer_alignment,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op11_quality_rules": OP11_SQL,
+    "op13_merkle_manifest": OP13_SQL,
     "op5_chat_formatting": r"""
 WITH own AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
