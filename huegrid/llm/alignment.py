@@ -39,7 +39,7 @@ from huegrid.llm.packing import _byte_of
 
 #: A text may be cut before a space that follows no white space: no token of A or B crosses such a place.
 CUT, ODD = re.compile(r"(?<=\S)(?= )"), re.compile(r"\s ")
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 #: Links that are held at once.
 SLICE = 1 << 18
 BROADCAST_PAIRS = 4 << 20
