@@ -11,7 +11,9 @@ columns of all matrices, so that no two words share one.
    whole in one of them, wherever it starts. Windows without as many of the item's rare words as step 4 can't do without
    are left out: a common subsequence can't be longer than the common words, so this loses nothing. In the others, the run
    of as many words as the item has whose cosine with the item in the latent space is the highest, over all starts, makes
-   the window a candidate if this cosine reaches ``least_cosine``.
+   the window a candidate if this cosine reaches ``least_cosine``. Every word of the benchmark has a weight, however
+   common, so a window that holds the item itself has cosine 1; an item without a direction in the space leaves the
+   decision to step 4.
 4. A candidate counts if the longest common subsequence of item and window holds at least ``share`` of the item's words,
    and at least half of the words of its answer (the item's last sentence) in order.
 
@@ -41,8 +43,6 @@ from huegrid.llm.common import by_size, table, tidy
 RANK, BLOCK, PASSAGE, ITEMS, ROWS = 64, 8, 48, 5000, 32
 #: Words of a weight above each of these are counted in a window, the rarest first.
 RARE = (6.0, 4.5, 3.0, 2.0, 1.0, 0.0)
-#: Words of a smaller weight (in more than about half of all documents) don't count in the latent vectors of windows and items.
-COMMON = 0.7
 PLAIN = bytes(c | 32 if chr(c).isupper() and c < 128 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 ANSWER = re.compile(r"(?<=[.!?])\s+")
 
@@ -170,7 +170,7 @@ class Items:
 
     def __init__(self, rows: list, columns: Columns, idf: np.ndarray, space: np.ndarray, min_words: int, share: float):
         self.columns = columns
-        self.weighted = np.where(idf >= COMMON, idf**2, 0).astype(np.float32)[:, None] * space  # the weight of a word in the item and in the window
+        self.weighted = (idf**2).astype(np.float32)[:, None] * space  # the weight of a word in the item and in the window; no word of the benchmark has none
         self.levels = []  # rare words, and how many places of them a match must have at least
         self.ids, self.words, self.answers, vectors = [], [], [], []
         for item_id, text in rows:
@@ -224,7 +224,9 @@ class Items:
         return key // blocks // len(ends), key // blocks % len(ends), key % blocks * BLOCK
 
     def nearest(self, item: int, words: np.ndarray) -> tuple[float, int]:
-        """Cosine and place of the run of the item's length that is nearest to it."""
+        """Cosine and place of the run of the item's length that is nearest to it; 1 and the window's start where the item has no direction."""
+        if not self.vectors[item].any():
+            return 1.0, 0
         n = min(len(self.words[item]), len(words))
         sums = np.zeros((len(words) + 1, self.weighted.shape[1]))
         np.cumsum(self.weighted[words], axis=0, out=sums[1:])
