@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from huegrid.functions import spectra
 
@@ -98,21 +102,71 @@ def overlap_ratio(table: DataFrame, left: str = "l1", right: str = "l2") -> Data
 
 
 def best_assignment(weight: np.ndarray) -> list[int]:
-    """The column of each row that maximises the sum, by dynamic programming over sets of columns (16 labels at most)."""
+    """The column of each row that maximises the sum; of equal sums, the one with the smallest columns, row by row.
+
+    Shortest augmenting paths, O(rows^2 columns). Weights are taken as whole numbers of one unit, with the order of ties below
+    that unit, so the result is exact."""
     rows, cols = weight.shape
-    if rows > cols or cols > 16:
-        raise ValueError("rows must not exceed columns, of which there are 16 at most")
-    best: dict[int, tuple[float, tuple[int, ...]]] = {0: (0.0, ())}
+    if rows > cols:
+        raise ValueError("rows must not exceed columns")
+    exact = [[Fraction(v) for v in line] for line in weight.tolist()]
+    unit = max((v.denominator for line in exact for v in line), default=1)  # denominators are powers of two
+    tie = (cols + 1) ** (rows + 1)
+    cost = [[c * (cols + 1) ** (rows - 1 - r) - int(exact[r][c] * unit) * tie for c in range(cols)] for r in range(rows)]
+    row_price, price, owner = [0] * rows, [0] * cols, [-1] * cols
     for r in range(rows):
-        step: dict[int, tuple[float, tuple[int, ...]]] = {}
-        for used, (total, path) in best.items():
-            for c in range(cols):
-                if not used >> c & 1:
-                    new, key = (total + weight[r, c], (*path, c)), used | 1 << c
-                    if key not in step or new[0] > step[key][0] or (new[0] == step[key][0] and new[1] < step[key][1]):
-                        step[key] = new
-        best = step
-    return list(max(best.values(), key=lambda v: (v[0], tuple(-c for c in v[1])))[1])
+        distance = [cost[r][c] - row_price[r] - price[c] for c in range(cols)]
+        before, open_, done = [r] * cols, set(range(cols)), []
+        while True:
+            c = min(open_, key=distance.__getitem__)
+            reach = distance[c]
+            open_.remove(c)
+            if owner[c] < 0:
+                break
+            done.append(c)
+            via = owner[c]
+            for k in open_:
+                longer = reach + cost[via][k] - row_price[via] - price[k]
+                if longer < distance[k]:
+                    distance[k], before[k] = longer, via
+        row_price[r] += reach
+        for k in done:
+            row_price[owner[k]] += reach - distance[k]
+            price[k] -= reach - distance[k]
+        while True:  # turn the path: each row takes the column that was found from it
+            via = before[c]
+            owner[c], following = via, next((k for k in done if owner[k] == via), None)
+            if via == r:
+                break
+            c = following
+    out = [0] * rows
+    for c, r in enumerate(owner):
+        if r >= 0:
+            out[r] = c
+    return out
+
+
+def aligned_labels(counts: DataFrame, labels: int, by: list[str], reference: str = "l1", target: str = "l2") -> DataFrame:
+    """by, target, display, overlap, target_pixels, reference_pixels: for each group, the reference label that each target label 1..labels is shown as.
+
+    counts has by, reference, target, n. Labels that occur are matched one to one with the greatest overlap (ties: the smallest
+    labels, in order of the target's); labels that don't take the ids left over, ascending. Each group (a map, a fold, a sample) is
+    labels^2 numbers and is matched in one task; groups are dealt over all of them."""
+    summed = counts.groupBy(*by, reference, target).agg(F.sum("n").cast("long").alias("n"))
+    fields = summed.select(*by, target).schema.add("display", T.LongType()).add("overlap", T.LongType()).add("target_pixels", T.LongType()).add("reference_pixels", T.LongType())
+
+    def one(frame):
+        table = np.zeros((labels, labels), np.int64)  # target, reference
+        if not (frame[reference].between(1, labels) & frame[target].between(1, labels)).all():
+            raise ValueError(f"labels must be 1 to {labels}")
+        table[frame[target] - 1, frame[reference] - 1] = frame.n
+        present, shown = np.flatnonzero(table.sum(1)), np.full(labels, -1)
+        shown[present] = best_assignment(table[present])
+        shown[shown < 0] = sorted(set(range(labels)) - set(shown.tolist()))
+        columns = {c: [frame[c].iloc[0]] * labels for c in by} | {target: np.arange(1, labels + 1), "display": shown + 1, "overlap": table[np.arange(labels), shown]}
+        return pd.DataFrame(columns | {"target_pixels": table.sum(1), "reference_pixels": table.sum(0)[shown]})[fields.names]
+
+    return summed.groupBy(*by).applyInPandas(one, fields)
 
 
 def matched_labels(table: DataFrame, labels: int, left: str = "l1", right: str = "l2") -> DataFrame:

@@ -82,3 +82,77 @@ def test_missing_and_short_files_are_refused(folder):
         E.discovered(str(folder), "030")
     with pytest.raises(ValueError, match="no cubes"):
         E.discovered(str(folder), "999")
+
+
+# ---- grids, intervals, alignment ----------------------------------------------
+
+
+def test_plans_equal_interpolation_by_numpy(spark):
+    from pyspark.sql import functions as F
+
+    from huegrid.functions import grids
+
+    chance = np.random.default_rng(4)
+    rows = [(k, np.cumsum(chance.uniform(0.1, 5, n)).tolist(), chance.normal(size=n).tolist()) for k, n in enumerate((2, 3, 7, 64))]
+    for target in (2, 5, 96):
+        plan = grids.grid_plan(F.col("g"), target)
+        got = spark.createDataFrame(rows, "k int, g array<double>, x array<double>").select("k", "g", "x", plan.alias("p")).select("*", grids.regridded_by(F.col("x"), F.col("p")).alias("y")).collect()
+        for r in got:
+            at = np.linspace(r.g[0], r.g[-1], target)
+            right = np.clip(np.searchsorted(r.g, at, side="right"), 1, len(r.g) - 1)
+            assert [p.right_source_band for p in r.p] == right.tolist() and [p.left_source_band for p in r.p] == (right - 1).tolist()
+            assert np.allclose([p.target_wavelength_nm for p in r.p], at) and np.allclose(r.y, np.interp(at, r.g, r.x))
+
+
+@pytest.mark.parametrize("grid", [[1.0], [], [1.0, 1.0], [2.0, 1.0], [1.0, float("nan")], [1.0, float("inf")]])
+def test_a_grid_must_ascend(spark, grid):
+    from pyspark.sql import functions as F
+
+    from huegrid.functions import grids
+
+    with pytest.raises(Exception, match="strictly increasing"):
+        spark.createDataFrame([(grid,)], "g array<double>").select(grids.grid_plan(F.col("g"), 3)).collect()
+    with pytest.raises(ValueError, match="two bands"):
+        grids.grid_plan(F.col("g"), 1)
+
+
+def test_intervals_meet_their_points_without_a_nested_loop(spark):
+    from huegrid.operators import intervals
+
+    points = spark.createDataFrame([(k, v) for k, v in enumerate((-3.0, 0.0, 2.5, 9.99, 10.0, 25.0, None, float("nan")))], "id int, x double")
+    spans = spark.createDataFrame([("a", -3.0, 2.5), ("b", 10.0, 10.0), ("c", 2.6, 30.0), ("d", 5.0, 4.0), ("e", None, 9.0)], "name string, lower double, upper double")
+    want = {(k, n) for k, x in [tuple(r) for r in points.collect()] for n, a, b in [tuple(r) for r in spans.collect()] if x is not None and a is not None and a <= x <= b}
+    for width in (0.5, 4.0, 1000.0):
+        found = intervals.annotated(points, spans, "x", "lower", "upper", width)
+        assert {(r.id, r.name) for r in found.collect()} == want and found.count() == len(want)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="both sides"):
+        intervals.annotated(points, points, "x", "x", "x", 1.0)
+
+
+def test_assignment_is_exact_and_takes_the_smallest_of_equals():
+    import itertools
+
+    from huegrid.operators import models
+
+    chance = np.random.default_rng(5)
+    for rows, cols in ((1, 1), (2, 4), (3, 3), (5, 7), (7, 7), (8, 8)):
+        w = chance.integers(0, 4, (rows, cols))
+        best = max(sum(w[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(cols), rows))
+        first = next(list(p) for p in itertools.permutations(range(cols), rows) if sum(w[i, c] for i, c in enumerate(p)) == best)
+        assert models.best_assignment(w) == first
+    big = chance.normal(size=(60, 60))
+    got = models.best_assignment(big)
+    assert sorted(got) == list(range(60))
+    total = big[np.arange(60), got].sum()
+    for a, b in itertools.combinations(range(60), 2):  # no exchange of two is better
+        assert big[a, got[b]] + big[b, got[a]] <= big[a, got[a]] + big[b, got[b]] + 1e-12
+    assert total <= big.max(1).sum() and models.best_assignment(np.zeros((3, 5))) == [0, 1, 2]
+
+
+def test_absent_labels_take_what_is_left(spark):
+    from huegrid.operators import models
+
+    counts = spark.createDataFrame([("m", 1, 3, 9), ("m", 2, 1, 4), ("m", 2, 3, 5), ("n", 3, 3, 1)], "map string, l1 int, l2 int, n long")
+    rows = sorted(tuple(r) for r in models.aligned_labels(counts, 4, ["map"]).collect())
+    assert rows == [("m", 1, 2, 4, 4, 9), ("m", 2, 3, 0, 0, 0), ("m", 3, 1, 9, 14, 9), ("m", 4, 4, 0, 0, 0), ("n", 1, 1, 0, 0, 0), ("n", 2, 2, 0, 0, 0), ("n", 3, 3, 1, 1, 1), ("n", 4, 4, 0, 0, 0)]
