@@ -122,17 +122,17 @@ def recentred(x: Column, norm: Column) -> Column:
 
 def shifted(x: Column, delta: Column) -> Column:
     """Values at j - delta by linear interpolation, clamped to the ends."""
-    n = F.size(x)
 
     def moved(p: Column) -> Column:
         def at(_: Column, j: Column) -> Column:
-            z = F.least(F.greatest(j - p["d"], F.lit(0.0)), (n - 1).cast("double"))
-            k = F.least(F.floor(z), (n - 2).cast("long")).cast("int")
+            z = F.least(F.greatest(j - p["d"], F.lit(0.0)), p["last"])
+            k = F.least(F.floor(z), p["before"]).cast("int")
             return F.element_at(p["x"], k + 1) * (1 - (z - k)) + F.element_at(p["x"], k + 2) * (z - k)
 
         return F.transform(p["x"], at)
 
-    return let(F.struct(x.alias("x"), delta.alias("d")), moved)
+    sized = lambda v: F.struct(v.alias("x"), delta.alias("d"), (F.size(v) - 1).cast("double").alias("last"), (F.size(v) - 2).cast("long").alias("before"))
+    return let(let(x, sized), moved)
 
 
 def rotated(x: Column, noise: Column, theta: Column) -> Column:
@@ -144,8 +144,8 @@ def rotated(x: Column, noise: Column, theta: Column) -> Column:
         return let(dot(p["e"], p["n"]), lambda along: F.struct(p["n"].alias("n"), F.zip_with(p["e"], p["n"], lambda a, b: a - along * b).alias("q")))
 
     def turned(p: Column) -> Column:
-        lengths = F.struct(F.sqrt(dot(p["q"], p["q"])).alias("q"), F.sqrt(dot(x, x)).alias("r"))
-        return let(lengths, lambda s: F.when(s["q"] > 1e-8, F.zip_with(p["n"], p["q"], lambda a, b: s["r"] * (F.cos(theta) * a + F.sin(theta) * b / s["q"]))))
+        lengths = F.struct(F.sqrt(dot(p["q"], p["q"])).alias("q"), F.sqrt(dot(x, x)).alias("r"), F.cos(theta).alias("cos"), F.sin(theta).alias("sin"))
+        return let(lengths, lambda s: F.when(s["q"] > 1e-8, F.zip_with(p["n"], p["q"], lambda a, b: s["r"] * (s["cos"] * a + s["sin"] * b / s["q"]))))
 
     return let(let(F.struct(centred.alias("e"), direction.alias("n")), apart), turned)
 

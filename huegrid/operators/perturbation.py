@@ -43,13 +43,19 @@ def normal_noise(key: str, bands: Column) -> Column:
 def perturbed(rows: DataFrame, key: str, draws: int = 5, reach: float = 2.0, angles: tuple[float, float] = (0.5, 3.0), x: str = "x") -> DataFrame:
     """Each row ``draws`` times for each of KINDS (columns kind, draw): turned by an angle (degrees) towards normal noise,
     shifted by -reach..reach bands, or turned and then shifted; mean zero and the norm are kept."""
-    cases = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(d).cast("long").alias("draw")) for k in KINDS for d in range(1, draws + 1)))
-    out = rows.select("*", F.inline(cases))
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)).cast("array<long>")))
     theta = F.radians(unit_hash(F.lit("angle"), F.col(key), F.col("draw")) * (angles[1] - angles[0]) + angles[0])
     delta = (unit_hash(F.lit("shift"), F.col(key), F.col("draw")) * 2 - 1) * reach
-    turned = F.when(F.col("kind") != "shift", spectra.rotated(F.col(x), normal_noise(key, F.size(x)), theta)).otherwise(F.col(x))
-    out = out.withColumns({"_n": F.sqrt(spectra.dot(F.col(x), F.col(x))), "_d": delta, x: turned})
-    return out.withColumn(x, F.when(F.col("kind") != "noise", spectra.recentred(spectra.shifted(F.col(x), F.col("_d")), F.col("_n"))).otherwise(F.col(x))).drop("_n", "_d")
+    moved = lambda v, p: spectra.recentred(spectra.shifted(v, p["d"]), p["n"])
+
+    def cases(p: Column) -> Column:
+        """All kinds of a draw, from noise that is made once."""
+        each = lambda t: F.array(*(F.struct(F.lit(k).alias("kind"), v.alias(x)) for k, v in zip(KINDS, (t, moved(F.col(x), p), moved(t, p)), strict=True)))
+        return spectra.let(spectra.rotated(F.col(x), p["e"], theta), each)
+
+    given = F.struct(normal_noise(key, F.size(x)).alias("e"), delta.alias("d"), F.sqrt(spectra.dot(F.col(x), F.col(x))).alias("n"))
+    kept = [c for c in drawn.columns if c != x]
+    return drawn.select(*kept, F.inline(spectra.let(given, cases)))
 
 
 def flip_counts(clean: DataFrame, draws: Callable[[DataFrame], DataFrame], centers: DataFrame, x: str = "x", by: tuple[str, ...] = ("sample_id", "draw")) -> DataFrame:
