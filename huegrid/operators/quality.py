@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from huegrid.operators.quantiles import exact_quantiles
+
 
 def reference_quality(refs: DataFrame, floor: float = 1.0, snr_limit: float = 10.0) -> DataFrame:
     """Statistics of white - dark for each band over its spatial pixels; standard deviations divide by n."""
@@ -87,9 +89,8 @@ def top(rows: DataFrame, value: str, k: int, ties: list[str]) -> DataFrame:
 
 def robust_limits(bands: DataFrame, by: str) -> DataFrame:
     """Pooled q01 and q99; (0, 1) without values, and low + 1 where both are equal."""
-    q = bands.groupBy(by).agg(F.percentile("value", F.array(F.lit(0.01), F.lit(0.99))).alias("q"))
-    low = F.coalesce(F.col("q")[0], F.lit(0.0))
-    high = F.coalesce(F.col("q")[1], F.lit(1.0))
+    q = exact_quantiles(bands, [by], "value", {"_low": 0.01, "_high": 0.99})
+    low, high = F.coalesce("_low", F.lit(0.0)), F.coalesce("_high", F.lit(1.0))
     return q.select(by, low.alias("low"), F.when(high > low, high).otherwise(low + 1).alias("high"))
 
 
@@ -106,6 +107,7 @@ def feasibility(counts: DataFrame, q: int) -> DataFrame:
 
 
 def quantile_summary(rows: DataFrame, by: str, value: str) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.05), F.lit(0.5), F.lit(0.95)))
-    out = rows.groupBy(by).agg(F.avg(value).alias("mean"), q.alias("q"), F.max(value).alias("max"))
-    return out.select(by, "mean", F.col("q")[0].alias("q05"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q95"), "max")
+    """by, mean, q05, median, q95, max."""
+    plain = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.max(value).alias("max"))
+    q = exact_quantiles(rows, [by], value, {"q05": 0.05, "median": 0.5, "q95": 0.95})
+    return plain.join(q.withColumnRenamed(by, "_by"), plain[by].eqNullSafe(F.col("_by"))).select(by, "mean", "q05", "median", "q95", "max")

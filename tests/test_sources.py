@@ -156,3 +156,22 @@ def test_absent_labels_take_what_is_left(spark):
     counts = spark.createDataFrame([("m", 1, 3, 9), ("m", 2, 1, 4), ("m", 2, 3, 5), ("n", 3, 3, 1)], "map string, l1 int, l2 int, n long")
     rows = sorted(tuple(r) for r in models.aligned_labels(counts, 4, ["map"]).collect())
     assert rows == [("m", 1, 2, 4, 4, 9), ("m", 2, 3, 0, 0, 0), ("m", 3, 1, 9, 14, 9), ("m", 4, 4, 0, 0, 0), ("n", 1, 1, 0, 0, 0), ("n", 2, 2, 0, 0, 0), ("n", 3, 3, 1, 1, 1), ("n", 4, 4, 0, 0, 0)]
+
+
+def test_quantiles_equal_numpy(spark):
+    from huegrid.operators.quantiles import bin_of, exact_quantiles
+    from pyspark.sql import functions as F
+
+    chance = np.random.default_rng(6)
+    groups = {"wide": chance.normal(size=300) * 10.0 ** chance.integers(-300, 300, 300), "ties": chance.integers(-2, 3, 200).astype(float), "one": np.array([7.0]), "zeros": np.array([0.0, -0.0, 0.0]), None: chance.normal(size=50)}
+    rows = [(g, float(v)) for g, values in groups.items() for v in values] + [("ties", None), ("ties", float("nan")), ("wide", float("inf")), ("empty", None)]
+    levels = {"a": 0.0, "b": 0.01, "c": 0.5, "d": 0.77, "e": 1.0}
+    got = {r.g: [r[n] for n in levels] for r in exact_quantiles(spark.createDataFrame(rows, "g string, v double"), ["g"], "v", levels).collect()}
+    assert set(got) == {*groups, "empty"} and got["empty"] == [None] * 5
+    for g, values in groups.items():
+        assert got[g] == pytest.approx(np.quantile(values, list(levels.values())).tolist(), rel=1e-12)
+    values = sorted(groups["wide"].tolist()) + [float(np.finfo(float).max)]
+    bins = [r.b for r in spark.createDataFrame([(k, v) for k, v in enumerate([-values[-1], -5e-324, 0.0, 5e-324, *values])], "k int, v double").orderBy("v").select(bin_of(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(bins)
+    whole = exact_quantiles(spark.createDataFrame(rows, "g string, v double").where("g = 'ties'"), [], "v", {"m": 0.5}).collect()
+    assert [r.m for r in whole] == [np.quantile(groups["ties"], 0.5)]
