@@ -175,3 +175,90 @@ def test_quantiles_equal_numpy(spark):
     assert bins == sorted(bins)
     whole = exact_quantiles(spark.createDataFrame(rows, "g string, v double").where("g = 'ties'"), [], "v", {"m": 0.5}).collect()
     assert [r.m for r in whole] == [np.quantile(groups["ties"], 0.5)]
+
+
+# ---- saved samples and fingerprints ---------------------------------------------
+
+
+def scanned_rows(df):
+    """Rows that the scan handed on; a row group or page that is skipped has none."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaves = plan.collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+@pytest.fixture
+def store(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from huegrid.sources import saved
+
+    rows = spark.range(4000).select((F.col("id") % 4).alias("sample_id"), F.expr("id div 4").alias("hdf5_row"))
+    rows = rows.select("*", F.expr("hdf5_row div 10").alias("pixel_row"), (F.col("hdf5_row") % 10).alias("pixel_col"), F.array(F.col("hdf5_row") + 1.0, F.lit(-1.0)).alias("x"))
+    saved.save_samples(rows, str(tmp_path / "saved"), 100)
+    return str(tmp_path / "saved")
+
+
+def manifest(spark, keys, off=0):
+    return spark.createDataFrame([(s, r, r // 10, r % 10 + off) for s, r in keys], "sample_id long, hdf5_row long, pixel_row long, pixel_col long")
+
+
+def test_a_selection_reads_only_groups_with_its_rows(spark, store):
+    from huegrid.sources import saved
+
+    keys = [(1, 5), (1, 7), (1, 950), (3, 450), (3, 450)]
+    got = sorted((r.sample_id, r.hdf5_row, r.x[0]) for r in saved.selected(spark, store, manifest(spark, keys), chunk=100).collect())
+    assert got == [(1, 5, 6.0), (1, 7, 8.0), (1, 950, 951.0), (3, 450, 451.0)]
+    for most, least, largest in ((200, 300, 300), (2, 950, 2000), (1, 950, 4000)):  # three runs; two samples; too many of both
+        pruned = spark.read.parquet(store).where(saved.range_filter(manifest(spark, keys), 100, most))
+        assert least <= scanned_rows(pruned) <= largest
+        assert saved.selected(spark, store, manifest(spark, keys), 100, most).count() == 4
+    assert saved.selected(spark, store, manifest(spark, keys).where("false")).count() == 0
+    assert [tuple(r) for r in saved.missing(spark, store, manifest(spark, [(1, 5), (9, 1), (2, 5000)])).orderBy("sample_id").collect()] == [(2, 5000), (9, 1)]
+
+
+def test_what_the_manifest_does_not_say_is_refused(spark, store):
+    from huegrid.sources import saved
+
+    with pytest.raises(Exception, match="sample 1 row 5: coordinate mismatch"):
+        saved.selected(spark, store, manifest(spark, [(1, 5)], off=1)).collect()
+
+
+@pytest.mark.parametrize(("x", "message"), [([0.0, 0.0], "zero spectrum"), ([1.0, float("nan")], "non-finite"), ([1.0, None], "non-finite")])
+def test_unusable_spectra_are_refused(spark, tmp_path, x, message):
+    from huegrid.sources import saved
+
+    saved.save_samples(spark.createDataFrame([(1, 5, 0, 5, x)], "sample_id long, hdf5_row long, pixel_row long, pixel_col long, x array<double>"), str(tmp_path / "s"))
+    with pytest.raises(Exception, match=message):
+        saved.selected(spark, str(tmp_path / "s"), manifest(spark, [(1, 5)])).collect()
+
+
+def test_fingerprints_see_rows_but_no_order(spark):
+    from huegrid.sources import fingerprints
+
+    rows = [(1, "a", None), (2, None, 0.5), (2, None, 0.5), (None, "c", float("nan"))]
+    of = lambda some: fingerprints.fingerprint(spark.createDataFrame(some, "k long, `odd name` string, v double").repartition(3))
+    assert sorted(of(rows).collect(), key=str) == sorted(of(rows[::-1]).collect(), key=str)
+    changes = lambda some: {tuple(r) for r in fingerprints.changed_columns(of(some), of(rows)).collect()}
+    assert changes(rows) == set()
+    assert changes([*rows[:3], (None, "d", float("nan"))]) == {(None, "changed"), ("odd name", "changed")}
+    assert {c for c, _ in changes(rows[1:])} == {None, "k", "odd name", "v"}
+    swapped = [(1, None, None), (2, "a", 0.5), *rows[2:]]  # the columns' values are the same, their rows are not
+    assert changes(swapped) == {(None, "changed")}
+    retyped = fingerprints.fingerprint(spark.createDataFrame(rows, "k long, `odd name` string, v double").selectExpr("cast(k AS int) AS k", "`odd name`", "v", "1 AS more"))
+    assert {("k", "retyped"), ("more", "added")} <= {tuple(r) for r in fingerprints.changed_columns(retyped, of(rows)).collect()}
+    assert {r.rows for r in of([]).collect()} == {0}
+
+
+def test_a_second_write_of_the_same_rows_writes_nothing(spark, tmp_path):
+    import os
+
+    from huegrid.sources import fingerprints
+
+    path, rows = str(tmp_path / "t"), spark.range(100)
+    files = lambda: sorted(os.listdir(path))
+    assert fingerprints.write_if_changed(rows.repartition(3), path)
+    first = files()
+    assert not fingerprints.write_if_changed(rows.repartition(7).orderBy("id"), path) and files() == first
+    assert fingerprints.write_if_changed(rows.where("id <> 5"), path) and spark.read.parquet(path).count() == 99
