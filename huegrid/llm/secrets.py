@@ -39,7 +39,8 @@ from huegrid.llm.common import by_size, table, tidy, written
 
 LEAST, SHORT, BESIDE = 16, 8, 32
 RUN = re.compile(r"[A-Za-z0-9_+/=\-.~]{16,}")
-ASSIGNED = re.compile(r"(?:[:=]|=>)[ \t]{0,2}[\"'`]?(?!//)([^\s\"'`]{8,})")
+#: A value in quotes reaches to the next quote or blank; a bare one ends at what parts the fields of a query string or a list, too.
+ASSIGNED = re.compile(r"(?:[:=]|=>)[ \t]{0,2}(?:[\"'`](?!//)([^\s\"'`]{8,})|(?![\"'`]|//)([^\s\"'`&;,?]{8,}))")
 MIXED = re.compile(r"(?=.*[A-Za-z])(?=.*[0-9])|(?=.{20})(?=.*[a-z][A-Z]|.*[_+/=~])", re.DOTALL)
 TWO_KINDS = re.compile(r"(?=.*[A-Za-z])(?=.*[^A-Za-z])|(?=.*[a-z])(?=.*[A-Z])|(?=.*[0-9])(?=.*[^0-9])", re.DOTALL)
 #: What credentials are called.
@@ -48,12 +49,14 @@ NAMED = re.compile(r"(?:" + "|".join(NAMES) + r")[\w\-]{0,16}[\"']?\s{0,2}(?:[:=
 HINT = re.compile("|".join(NAMES), re.I)
 HARMLESS = re.compile(r"(?:https?:|www\.|@|//|\b(?:commit|sha1?|sha256|md5|checksum|digest|uuid|id|ref|doi|isbn)\b)[^\s]{0,24}\s{0,2}[:=]?\s{0,2}[\"']?$", re.I)
 #: Forms that issuers give their tokens.
-KNOWN = re.compile(r"(?:gh[pousr]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9\-]{20,}|[sr]k_live_[A-Za-z0-9]{20,}|AIza[0-9A-Za-z_\-]{35}|eyJ[\w\-]{8,}\.eyJ[\w\-]{8,}\.[\w\-]{8,})$")
+FORMS = r"gh[pousr]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16}|xox[abprs]-[A-Za-z0-9\-]{20,}+|[sr]k_live_[A-Za-z0-9]{20,}+|AIza[0-9A-Za-z_\-]{35}|eyJ[\w\-]{8,}+\.eyJ[\w\-]{8,}+\.[\w\-]{8,}+"
+KNOWN, INSIDE = re.compile(rf"(?:{FORMS})$"), re.compile(rf"(?<![A-Za-z0-9_])(?:{FORMS})(?![A-Za-z0-9_])")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}$", re.I)
-PLACEHOLDER = re.compile(r"(?:your|example|changeme|placeholder|dummy|sample|xxxx|\*{3,}|<.*>|\$\{|%\(|\{\{|environ|getenv|process\.)", re.I)
-ADDRESS = re.compile(r"(?:[a-z]+://|www\.|[\w.\-]+@[\w\-]+\.\w+|(?:[\w\-]+/){2,}|[\w\-]+\.(?:com|org|net|io|html?|py|java|js|md|txt|png|jpg)\b)", re.I)
+PLACEHOLDER = re.compile(r"(?:your|example|changeme|placeholder|dummy|sample|xxxx|\*{3}|\$\{|%\(|\{\{|environ|getenv|process\.)", re.I)
+#: Each starts at one character, so that a search reads a long candidate once.
+ADDRESS = re.compile(r"(?:[a-z]://|www\.|[\w.\-]@[\w\-]++\.\w|[\w\-]/[\w\-]++/|[\w\-]\.(?:com|org|net|io|html?|py|java|js|md|txt|png|jpg)\b)", re.I)
 NUMBER = re.compile(r"[\d.,:/TZ+\-_]+$")
-IDENTIFIER = re.compile(r"[A-Za-z]+(?:[_\-.][A-Za-z]+|[A-Z][a-z]+)*\d{0,2}$")
+IDENTIFIER = re.compile(r"[A-Za-z]++(?:[_\-.][A-Za-z]++)*+\d{0,2}$")
 HEX = re.compile(r"[0-9a-fA-F]+$")
 CONFIG = re.compile(r"\.(?:env|ya?ml|ini|cfg|conf|toml|properties|json|pem|key)$|config|settings|credential", re.I)
 TEST = re.compile(r"test|example|sample|docs?/|fixture|spec", re.I)
@@ -61,14 +64,18 @@ KEY = 27**3
 
 
 def candidates(text: str | None) -> list[tuple[int, str, str, str]]:
-    """(position, candidate, before, after) of a text, assigned values first where runs overlap them."""
+    """(position, candidate, before, after) of a text, assigned values first where runs overlap them; tokens of known forms inside a value stand for it."""
     if not text:
         return []
     spans = []
     for m in ASSIGNED.finditer(text):
-        body = m[1].rstrip(".,;:)]}>")
-        if len(body) >= SHORT and TWO_KINDS.match(body):
-            spans.append((m.start(1), m.start(1) + len(body)))
+        group = m.lastindex
+        body, at = m[group].rstrip(".,;:)]}>"), m.start(group)
+        known = [(at + k.start(), at + k.end()) for k in INSIDE.finditer(body)]
+        if known:  # a token of a known form inside a longer value
+            spans += known
+        elif len(body) >= SHORT and TWO_KINDS.match(body):
+            spans.append((at, at + len(body)))
     found, k = list(spans), 0
     for m in RUN.finditer(text):
         while k < len(spans) and spans[k][1] <= m.start():
@@ -184,11 +191,16 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
+def placeholder(candidate: str) -> bool:
+    """Whether it says that a secret belongs there, or has something in angle brackets."""
+    return bool(PLACEHOLDER.search(candidate)) or -1 < candidate.find("<") < candidate.rfind(">")
+
+
 def weak_label(candidate: str, before: str) -> int | None:
     """1 for clear secrets, 0 for clear lookalikes, None for the rest."""
     if KNOWN.match(candidate):
         return 1
-    if any(p.search(candidate) for p in (PLACEHOLDER, ADDRESS)) or any(p.match(candidate) for p in (UUID, NUMBER, IDENTIFIER)) or HARMLESS.search(before):
+    if placeholder(candidate) or ADDRESS.search(candidate) or any(p.match(candidate) for p in (UUID, NUMBER, IDENTIFIER)) or HARMLESS.search(before):
         return 0
     kinds = sum(bool(re.search(p, candidate)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     entropy = -sum(k / len(candidate) * math.log2(k / len(candidate)) for k in Counter(candidate).values())

@@ -230,3 +230,27 @@ def test_paths_fold_to_the_root(n):
             for level in path:
                 digest = hashlib.sha256((level["before"] + digest + level["after"]).encode()).hexdigest()
             assert digest == block[:32].hex()
+
+
+# ---- 10 bounds and long candidates ---------------------------------------------
+
+
+@pytest.mark.parametrize("text", ["see a=b&token={}&c=d", "GET /x?user=joe&api_key={}", "A=1;TOKEN={};B=2", "url=https://host/path?key={}", 'x = "prefix:{}"', "list=[{}, other]", "token: {}."])
+def test_a_token_has_its_own_bounds(text):
+    from huegrid.llm import secrets
+
+    token = "ghp_" + "aB3dE5fG7hJ9kL1mN3pQ5rS7tU9vW1xY3zA5"
+    found = {(at, body) for at, body, _, _ in secrets.candidates(text.format(token))}
+    assert (text.index("{}"), token) in found and not any(token in body and body != token for _, body in found)
+
+
+@pytest.mark.parametrize("body", ["x" + "_AaAaAaAaAaAaAaAa" * 20_000 + "!", "a" * 10**6, "ab/" * 300_000, "a.b-" * 250_000, "a@" * 500_000, "<" * 10**6, "A1b2" * 250_000, "eyJ" * 300_000, "xoxb-" * 200_000])
+def test_a_candidate_of_a_megabyte_is_read_in_no_time(body):
+    import time
+
+    from huegrid.llm import secrets
+
+    began = time.process_time()
+    secrets.weak_label(body, "token = ")
+    secrets.candidates("token = " + body)
+    assert time.process_time() - began < 10
