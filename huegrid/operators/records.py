@@ -102,6 +102,42 @@ def typical_rows(rows: DataFrame, key: str, x: str = "x") -> DataFrame:
     return rows.join(middle, "sample_id").groupBy("sample_id").agg(best.alias("b")).select("sample_id", F.col("b.key").alias(key), F.col("b.distance").alias("distance"))
 
 
+def diverse_triple(rows: DataFrame, x: str = "x", most: int = 2000) -> DataFrame:
+    """Of rows with sample_id (one a sample) and a spectrum, the three with the greatest least distance (root mean square) between two
+    of them, then the greatest sum of the three; ties go to the smallest samples. With ``least_distance`` of the choice.
+
+    The rows are representatives, ``most`` of them at most (more raise); pairs are taken from the farthest down until three close a
+    triangle, so no triples are listed. Fewer than three rows raise, as do spectra that are not finite."""
+    found = sorted(rows.select("sample_id", x).limit(most + 1).collect(), key=lambda r: r.sample_id)
+    if not 3 <= len(found) <= most:
+        raise ValueError(f"three rows are needed and {most} allowed; there are {len(found)}" + " or more" * (len(found) > most))
+    values = np.array([r[x] for r in found], np.float64)
+    if not np.isfinite(values).all() or len({r.sample_id for r in found}) < len(found):
+        raise ValueError("spectra must be finite, and one of each sample")
+    i, j = np.triu_indices(len(found), 1)
+    apart = np.concatenate([np.sqrt(((values[a] - values[a + 1 :]) ** 2).mean(1)) for a in range(len(found) - 1)])
+    order, joined, best, limit = np.argsort(-apart, kind="stable"), [0] * len(found), None, None
+    length = {}
+    for at in order.tolist():
+        if limit is not None and apart[at] < limit:
+            break
+        a, b = int(i[at]), int(j[at])
+        length[a, b] = float(apart[at])
+        both = joined[a] & joined[b]
+        while both:
+            c = (both & -both).bit_length() - 1
+            both &= both - 1
+            three = tuple(sorted((a, b, c)))
+            total = sum(length[p] for p in ((three[0], three[1]), (three[0], three[2]), (three[1], three[2])))
+            limit = float(apart[at])
+            if best is None or (-total, three) < best:
+                best = (-total, three)
+        joined[a] |= 1 << b
+        joined[b] |= 1 << a
+    chosen = [found[k].sample_id for k in best[1]]
+    return rows.where(F.col("sample_id").isin(chosen)).withColumn("least_distance", F.lit(limit))
+
+
 def coordinate_violations(chosen: DataFrame, mask: DataFrame, height: int, width: int) -> DataFrame:
     """rule, n: chosen pixels out of the image, chosen more than once, or not in the mask (the last two of those inside)."""
     inside = F.col("pixel_row").between(0, height - 1) & F.col("pixel_col").between(0, width - 1)

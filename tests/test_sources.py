@@ -262,3 +262,22 @@ def test_a_second_write_of_the_same_rows_writes_nothing(spark, tmp_path):
     first = files()
     assert not fingerprints.write_if_changed(rows.repartition(7).orderBy("id"), path) and files() == first
     assert fingerprints.write_if_changed(rows.where("id <> 5"), path) and spark.read.parquet(path).count() == 99
+
+
+def test_three_that_differ_most_equal_all_triples(spark):
+    import itertools
+
+    from huegrid.operators import records
+
+    chance = np.random.default_rng(8)
+    for n, values in ((3, chance.normal(size=(3, 2))), (12, chance.normal(size=(12, 4))), (9, chance.integers(0, 2, (9, 2)).astype(float)), (5, np.zeros((5, 2)))):
+        apart = lambda a, b: float(np.sqrt(((values[a] - values[b]) ** 2).mean()))  # noqa: B023, E731
+        score = lambda three: (min(apart(*p) for p in itertools.combinations(three, 2)), round(sum(apart(*p) for p in itertools.combinations(three, 2)), 12))
+        want = max(itertools.combinations(range(n), 3), key=score)
+        got = records.diverse_triple(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "sample_id int, x array<double>")).collect()
+        assert tuple(sorted(r.sample_id for r in got)) == want and {round(r.least_distance, 12) for r in got} == {round(score(want)[0], 12)}
+    rows = spark.createDataFrame([(1, [1.0]), (2, [2.0])], "sample_id int, x array<double>")
+    with pytest.raises(ValueError, match="there are 2"):
+        records.diverse_triple(rows)
+    with pytest.raises(ValueError, match="finite"):
+        records.diverse_triple(rows.union(spark.createDataFrame([(3, [float("nan")])], rows.schema)))
