@@ -281,3 +281,32 @@ def test_three_that_differ_most_equal_all_triples(spark):
         records.diverse_triple(rows)
     with pytest.raises(ValueError, match="finite"):
         records.diverse_triple(rows.union(spark.createDataFrame([(3, [float("nan")])], rows.schema)))
+
+
+def test_masks_are_whole_patches_of_an_exact_number(spark):
+    from pyspark.sql import functions as F
+
+    from huegrid.functions import patches
+
+    keys = spark.range(200)
+    for n, masked in ((16, 0), (16, 5), (16, 16), (1, 1)):
+        drawn = patches.masked_patches(F.col("id"), "s", n, masked)
+        rows = keys.select("id", drawn.alias("p")).select("*", patches.visible(F.col("p"), F.lit(4 * n), 4).alias("v")).select("*", patches.whole_patches(F.col("v"), 4, masked).alias("whole"), patches.whole_patches(F.col("v"), 4, masked + 1).alias("other")).collect()
+        assert all(r.whole and not r.other and len(set(r.p)) == masked == len(r.p) and list(r.p) == sorted(r.p) for r in rows)
+        assert all(r.v == [b // 4 not in r.p for b in range(4 * n)] for r in rows)
+    shares = np.bincount([k for r in keys.select(patches.masked_patches(F.col("id"), "s", 16, 5).alias("p")).collect() for k in r.p], minlength=16) / 200
+    assert shares.min() > 0.15 and shares.max() < 0.5  # 5 of 16 each
+    split = spark.createDataFrame([([True, False, True, True],), ([],)], "v array<boolean>").select(patches.whole_patches(F.col("v"), 2, 1).alias("w")).collect()
+    assert [r.w for r in split] == [False, False]
+    with pytest.raises(ValueError, match="as many"):
+        patches.masked_patches(F.col("id"), "s", 4, 5)
+
+
+def test_errors_count_hidden_bands_alone(spark):
+    from pyspark.sql import functions as F
+
+    from huegrid.functions import patches
+
+    row = spark.createDataFrame([([1.0, 2.0, 3.0], [0.0, 0.0, 5.0], [True, False, False])], "x array<double>, y array<double>, v array<boolean>")
+    some, every = (row.select(patches.squared_error(F.col("x"), F.col("y"), F.col("v"), e).alias("e")).first().e for e in (False, True))
+    assert (some.total, some.bands, every.total, every.bands) == (8.0, 2, 9.0, 3)
