@@ -56,7 +56,7 @@ def components(mask: DataFrame, neighbours: int = 4) -> DataFrame:
     spark = mask.sparkSession
     if not spark.sparkContext.getCheckpointDir():
         at = spark.conf.get("spark.checkpoint.dir", None)
-        if not at and not spark.sparkContext.master.startswith("local"):
+        if not at and not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="huegrid-ck-" + uuid.uuid4().hex[:6]))
     line = W.partitionBy("sample_id", "pixel_row").orderBy("pixel_col")

@@ -94,6 +94,34 @@ def projected(rows: DataFrame, mean: np.ndarray, components: np.ndarray, x: str
     return rows.withColumn("_c", at).withColumn(name, F.array(*(spectra.dot(F.col("_c"), F.array(*map(F.lit, c.tolist()))) for c in components))).drop("_c")
 
 
+def pca_table(spark, mean: np.ndarray, components: np.ndarray) -> DataFrame:
+    """A fitted model as rows: component (0 for the mean), band, value."""
+    rows = [(k, b, float(v)) for k, line in enumerate([mean, *components]) for b, v in enumerate(line)]
+    return spark.createDataFrame(rows, "component long, band long, value double")
+
+
+def pca_from_table(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and components of a saved model; raises unless every component has every band once, with a finite value."""
+    found = table.groupBy("component").agg(F.sort_array(F.collect_list(F.struct("band", "value"))).alias("v")).orderBy("component").collect()  # components x bands
+    if len(found) < 2 or [r.component for r in found] != list(range(len(found))) or any([p.band for p in r.v] != list(range(len(found[0].v))) for r in found):
+        raise ValueError("a saved model has a mean and components, each with the same bands once")
+    values = np.array([[p.value for p in r.v] for r in found], np.float64)
+    if not np.isfinite(values).all():
+        raise ValueError("a saved model has finite values")
+    return values[0], values[1:]
+
+
+def pca_checks(rows: DataFrame, mean: np.ndarray, components: np.ndarray, x: str = "x") -> DataFrame:
+    """components, total_variance (of all scores), score_mean (the greatest, from zero), basis_error (the greatest, from an orthonormal basis)
+    and falling (whether variances fall from component to component), from one pass over the rows."""
+    moments = projected(rows, mean, components, x, "__pc").select(F.posexplode("__pc").alias("k", "v")).groupBy("k").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s"))
+    error = float(np.abs(components @ components.T - np.eye(len(components))).max())
+    kept = F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda p: p["s"])
+    out = moments.agg(F.count(F.lit(1)).alias("components"), F.sum("s").alias("total_variance"), F.max(F.abs("m")).alias("score_mean"), kept.alias("v"))
+    falling = F.forall(F.transform("v", lambda s, i: F.coalesce(F.get("v", i + 1) <= s * (1 + 1e-9) + 1e-12, F.lit(True))), lambda b: b)
+    return out.select("components", "total_variance", "score_mean", F.lit(error).alias("basis_error"), falling.alias("falling"))
+
+
 def overlap_ratio(table: DataFrame, left: str = "l1", right: str = "l2") -> DataFrame:
     """Intersection over union of each pair of labels, pooled."""
     n = table.groupBy(left, right).agg(F.sum("n").alias("n"))

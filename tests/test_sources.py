@@ -310,3 +310,23 @@ def test_errors_count_hidden_bands_alone(spark):
     row = spark.createDataFrame([([1.0, 2.0, 3.0], [0.0, 0.0, 5.0], [True, False, False])], "x array<double>, y array<double>, v array<boolean>")
     some, every = (row.select(patches.squared_error(F.col("x"), F.col("y"), F.col("v"), e).alias("e")).first().e for e in (False, True))
     assert (some.total, some.bands, every.total, every.bands) == (8.0, 2, 9.0, 3)
+
+
+def test_a_saved_model_is_the_fitted_one(spark, tmp_path):
+    from huegrid.operators import models
+    from pyspark.sql import functions as F
+
+    x = np.random.default_rng(9).normal(size=(300, 5)) @ np.random.default_rng(10).normal(size=(5, 5))
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "x array<double>")
+    mean, parts = models.pca(rows, 5)
+    models.pca_table(spark, mean, parts).repartition(3).write.parquet(str(tmp_path / "m"))
+    saved = spark.read.parquet(str(tmp_path / "m"))
+    again = models.pca_from_table(saved)
+    assert (again[0] == mean).all() and (again[1] == parts).all()
+    good = models.pca_checks(rows, *again).first()
+    assert good.components == 5 and good.falling and good.basis_error < 1e-9 and good.score_mean < 1e-9 and good.total_variance == pytest.approx(x.var(0).sum())
+    bad = models.pca_checks(rows, mean + 1, parts[::-1] * 1.5).first()
+    assert not bad.falling and bad.basis_error > 1 and bad.score_mean > 0.1
+    for broken in (saved.where("NOT (component = 2 AND band = 1)"), saved.union(saved.limit(1)), saved.withColumn("value", F.lit(float("nan"))), saved.where("component = 0")):
+        with pytest.raises(ValueError, match="a saved model has"):
+            models.pca_from_table(broken)
