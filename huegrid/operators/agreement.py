@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from huegrid.operators.models import best_assignment
+from huegrid.operators.maps import contingency
+from huegrid.operators.models import assigned, best_assignment
 
 
 def accuracy(rows: DataFrame, truth: str, found: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -62,3 +63,15 @@ def cluster_agreement(table: DataFrame, labels: int, left: str = "l1", right: st
         nmi, room = information / max(sum(entropy) / 2, 1e-300), max(entropy) - chance
         ami = (information - chance) / (room if abs(room) > 1e-15 else np.copysign(1e-15, room))
     return table.sparkSession.createDataFrame([(n, 100 * matched / n, 100 * nmi, 100 * ami)], "rows long, acc double, nmi double, ami double")
+
+
+def held_out_scores(test: DataFrame, model: DataFrame, labels: int, truth: str = "label", x: str = "x") -> DataFrame:
+    """train_rows, test_rows, acc, nmi, ami: a model fitted elsewhere (cluster from 0, center, rows) held against the true labels 1..labels of ``test``.
+
+    Its centres stay as they are. A test row without a vector or a label is an error, not left out; so is a model of more clusters than labels."""
+    rows = test.select(F.col(truth).alias("l1"), F.col(x).alias("x"))
+    if rows.where("l1 IS NULL OR x IS NULL").head(1):
+        raise ValueError("test rows need a vector and a label")
+    found = assigned(rows, model, "x").select("l1", (F.col("label") + 1).alias("l2"))
+    scores = cluster_agreement(contingency(found, by=()), labels)
+    return scores.crossJoin(model.agg(F.sum("rows").alias("train_rows"))).withColumnRenamed("rows", "test_rows").select("train_rows", "test_rows", "acc", "nmi", "ami")  # one row each

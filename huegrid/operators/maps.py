@@ -1,7 +1,7 @@
 """Statistics of label maps: sample_id, pixel_row, pixel_col, label. A missing row is background.
 
 Neighbours are found by shifted coordinates: counts in windows by running counts along rows, pairs by equi joins in which
-each pixel is sent to half of its window.
+each pixel is sent to half of its window. Boundaries of several maps are compared in ``reproducibility``.
 """
 
 from __future__ import annotations
@@ -150,40 +150,6 @@ def diagnostics(labels: DataFrame) -> DataFrame:
     return rows.withColumn("boundary_density", _ratio(F.col("boundary_edges"), F.col("valid_edges")))
 
 
-def dilated(edge: DataFrame, width: int) -> DataFrame:
-    """All doubled coordinates within width - 1 of a boundary midpoint: one pass along rows, one along columns."""
-    reach = range(1 - width, width)
-    wide = _moved(edge, [(0, b) for b in reach], "i", "j").distinct()
-    return _moved(wide, [(a, 0) for a in reach], "i", "j").distinct()
-
-
-def coverage(source: DataFrame, target: DataFrame, width: int) -> DataFrame:
-    """Share of the source's boundary within the target's neighbourhood: null without a source, 0 without a target."""
-    a, b = boundary(source), dilated(boundary(target), width)
-    hit = a.join(b.withColumn("hit", F.lit(1)), ["sample_id", "i", "j"], "left")
-    counts = hit.groupBy("sample_id").agg(F.count(F.lit(1)).alias("boundary_count"), F.count("hit").alias("matched_count"))
-    rows = source.select("sample_id").distinct().join(counts, "sample_id", "left").fillna(0)
-    return rows.withColumn("value", _ratio(F.col("matched_count"), F.col("boundary_count"))).withColumn("undefined_reason", F.when(F.col("boundary_count") == 0, "empty_source_boundary"))
-
-
-def compare(left: DataFrame, right: DataFrame, width: int) -> DataFrame:
-    """Both directions of coverage, the lower and the upper one where both are defined."""
-    a = coverage(left, right, width).select("sample_id", F.col("value").alias("a_to_b"))
-    b = coverage(right, left, width).select("sample_id", F.col("value").alias("b_to_a"))
-    both = F.col("a_to_b").isNotNull() & F.col("b_to_a").isNotNull()
-    return a.join(b, "sample_id", "full_outer").withColumns({"lower": F.when(both, F.least("a_to_b", "b_to_a")), "upper": F.when(both, F.greatest("a_to_b", "b_to_a"))})
-
-
-def boundary_frequency(maps: DataFrame, n_maps: int, width: int) -> DataFrame:
-    """Share of the maps (column map) whose dilated boundary covers each pixel's centre."""
-    key = F.struct("sample_id", "map")
-    flat = maps.withColumn("sample_id", key)
-    cover = dilated(boundary(flat), width).where("i % 2 = 0 AND j % 2 = 0").select(F.col("sample_id.sample_id").alias("sample_id"), F.expr("i div 2").alias("pixel_row"), F.expr("j div 2").alias("pixel_col"))
-    counts = cover.groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n"))
-    pixels = maps.select(*PIXEL).distinct()
-    return pixels.join(counts, PIXEL, "left").select(*PIXEL, (F.coalesce("n", F.lit(0)) / n_maps).alias("frequency"))
-
-
 def silhouette(points: DataFrame, label: str = "label", x: str = "z") -> DataFrame:
     """points with ``silhouette``: the exact cosine silhouette over all points, from one sum vector for each cluster."""
     sums = points.select(label, F.posexplode(x).alias("k", "v")).groupBy(label, "k").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))

@@ -43,7 +43,14 @@ def cosine_kmeans(rows: DataFrame, k: int, key: str, x: str = "x", iterations: i
     unit = rows.select(key, spectra.unit(F.col(x)).alias("u")).where("u IS NOT NULL").persist()
     order = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256)
     first = np.array([r.u for r in unit.orderBy(order).limit(k).collect()])
-    spark = rows.sparkSession
+    found = _lloyd(unit, first, iterations, tolerance)
+    unit.unpersist()
+    return found
+
+
+def _lloyd(unit: DataFrame, first: np.ndarray, iterations: int, tolerance: float) -> DataFrame:
+    """(cluster, center) of unit vectors ``u`` after steps from ``first``; a centre without rows stays."""
+    spark = unit.sparkSession
 
     def frame(c: np.ndarray) -> DataFrame:
         return spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(c)], "cluster long, center array<double>")
@@ -58,10 +65,25 @@ def cosine_kmeans(rows: DataFrame, k: int, key: str, x: str = "x", iterations: i
         first = new
         if done:
             break
-    unit.unpersist()
     return frame(first)
 
 
+def fitted_centers(train: DataFrame, first: DataFrame, x: str = "x", iterations: int = 20, tolerance: float = 1e-4) -> DataFrame:
+    """A fitted model as a table: cluster, center (unit vectors), rows (how many training rows are nearest to it).
+
+    ``first`` (cluster from 0 without gaps, center) is where the steps begin; it comes to the driver, as many vectors as there
+    are clusters. Training rows without a direction (null or zero vectors) are left out."""
+    start = {r.cluster: np.array(r.center, np.float64) for r in first.select("cluster", "center").collect()}
+    if not start or sorted(start) != list(range(len(start))):
+        raise ValueError("clusters must be numbered from 0 without gaps")
+    unit = train.select(spectra.unit(F.col(x)).alias("u")).where("u IS NOT NULL").persist()
+    begin = np.stack([start[i] / max(np.linalg.norm(start[i]), 1e-12) for i in range(len(start))])
+    centers = _lloyd(unit, begin, iterations, tolerance)
+    counts = {r.label: r["count"] for r in assigned(unit, centers, "u").groupBy("label").count().collect()}
+    unit.unpersist()
+    return centers.withColumn("rows", F.coalesce(F.element_at(F.create_map(*(F.lit(v).cast("long") for kv in (counts or {-1: 0}).items() for v in kv)), F.col("cluster")), F.lit(0)).cast("long"))
+
+
 def pca(rows: DataFrame, components: int, x: str = "x") -> tuple[np.ndarray, np.ndarray]:
     """Mean and components (rows), from one pass that sums each task's Gram matrix; signs make the largest entry positive."""
 

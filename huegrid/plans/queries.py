@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from huegrid.functions import spectra as S
 from huegrid.operators import maps as M
-from huegrid.operators import agreement, masks, models, perturbation, quality, relations, sampling, summaries
+from huegrid.operators import agreement, masks, models, perturbation, quality, relations, reproducibility, sampling, summaries
 from huegrid.sources import views as V
 from huegrid.sources.views import with_views
 
@@ -183,7 +183,8 @@ FROM (SELECT DISTINCT sample_id FROM maps) s LEFT JOIN x USING (sample_id) LEFT
 
     @query(f"boundary_coverage{width}", sql, "maps")
     def run(spark, sf_dir):
-        return rounded(M.compare(V.one_map(spark, sf_dir, "l1"), V.one_map(spark, sf_dir, "l2"), width), "a_to_b", "b_to_a", "lower", "upper")
+        both = V.maps(spark, sf_dir).select(*M.PIXEL, F.array("l1", "l2").alias("labels"))
+        return rounded(reproducibility.compared(both, width), "a_to_b", "b_to_a", "lower", "upper")
 
 
 for _w in (3, 5, 9):
@@ -204,9 +205,9 @@ SELECT p.sample_id, p.pixel_row, p.pixel_col, round(count(h.map) / 9.0::DOUBLE,
     "maps",
 )
 def boundary_frequency(spark, sf_dir):
-    at = F.array(*(F.struct(F.lit(k).alias("map"), (1 + (F.col("l1") * a + F.col("l2") * b + F.col("pixel_row") * c) % 8).alias("label")) for k, (a, b, c) in enumerate(TRIPLES)))
-    rows = V.maps(spark, sf_dir).select("sample_id", "pixel_row", "pixel_col", F.inline(at))
-    return rounded(M.boundary_frequency(rows, 9, 3), "frequency")
+    labels = F.array(*(1 + (F.col("l1") * a + F.col("l2") * b + F.col("pixel_row") * c) % 8 for a, b, c in TRIPLES))
+    rows = V.maps(spark, sf_dir).select(*M.PIXEL, labels.alias("labels"))
+    return rounded(reproducibility.boundary_frequency(rows, 9, 3), "frequency")
 
 
 SILHOUETTE = """WITH d AS (SELECT a.vec_id, a.sample_id, a.cls AS own, b.cls AS other, sum(greatest(0, 1 - list_dot_product(a.x, b.x))) FILTER (a.vec_id <> b.vec_id) AS s, count(*) FILTER (a.vec_id <> b.vec_id) AS n

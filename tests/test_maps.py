@@ -5,6 +5,7 @@ import itertools
 import pytest
 
 from huegrid.operators import maps as M
+from huegrid.operators import reproducibility as R
 
 
 def image(spark, *lines, sample=1):
@@ -66,14 +67,14 @@ def test_boundary_lattice(spark):
 
 def test_coverage_directions(spark):
     a, b = image(spark, [1] * 3 + [2] * 9), image(spark, [5] * 3 + [6] * 5 + [7] * 4)
-    row = one(M.compare(a, b, 3))
+    row = one(R.compare(a, b, 3))
     assert (row.a_to_b, row.b_to_a, row.lower, row.upper) == (1.0, 0.5, 0.5, 1.0)
 
 
 def test_empty_source_is_null_and_empty_target_is_zero(spark):
     flat, edge = image(spark, [1, 1, 1]), image(spark, [1, 1, 2])
-    assert one(M.coverage(flat, edge, 3)).value is None
-    assert one(M.coverage(edge, flat, 3)).value == 0.0
+    assert one(R.coverage(flat, edge, 3)).value is None
+    assert one(R.coverage(edge, flat, 3)).value == 0.0
 
 
 def test_silhouette_of_two_orthogonal_pairs(spark):
