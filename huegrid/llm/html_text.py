@@ -22,6 +22,7 @@ from __future__ import annotations
 import html
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -32,14 +33,11 @@ from pyspark.sql import functions as F
 
 from huegrid.llm.common import by_size, slices, table, tidy
 
-TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|template|svg|iframe|object|canvas|noscript|head|annotation(?:-xml)?)(?![\w:\-])(?P<own>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)>"
-    r"|<(?P<end>/?)(?P<name>[a-z][a-z0-9:\-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<(?P<end2>/?)(?P<name2>[a-z][a-z0-9:\-]*)(?P<rest2>[^>]*)>"
-    r"|<[!?][^>]*>",
-    re.IGNORECASE | re.DOTALL,
+START = re.compile(
+    r"<!--|<(?P<raw>script|style|template|svg|iframe|object|canvas|noscript|head|annotation(?:-xml)?)(?![\w:\-])|<(?P<end>/?)(?P<name>[a-z][a-z0-9:\-]*)|<[!?]",
+    re.IGNORECASE,
 )
+SPECIAL = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 #: Fixed values of HTML: elements without content, and elements that start a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,7 +48,7 @@ BLOCKS = frozenset(
 )
 #: Elements whose text is no markup: without an end tag they run to the end of the page.
 RAW = frozenset("script style iframe".split())
-OPEN_VALUE = re.compile(r"=\s*[^\s\"'>]+$")  # a slash at the end of an unquoted value is part of it
+BARE = re.compile(r"[^\s\"'>]*")
 IN_HEAD = re.compile(r"\s+|<!--.*?(?:-->|\Z)|<(?P<whole>script|style|title|noscript|template)(?![\w:\-])[^>]*>.*?(?:</(?P=whole)\s*>|\Z)|<(?:meta|link|base|basefont|bgsound)(?![\w:\-])[^>]*>", re.IGNORECASE | re.DOTALL)
 HEAD_END = re.compile(r"</head\s*>", re.IGNORECASE)
 #: Inside a drawing: elements that may hold HTML, the drawing itself, and what ends a drawing that was left open.
@@ -115,38 +113,80 @@ def _names(tag: str, rest: str) -> tuple[str, ...]:
     return tuple(names)
 
 
-def _drawing_end(page: str, at: int) -> int:
-    """Where a drawing ends whose start tag ends at ``at``."""
-    holders, depth = 0, 1
-    for m in DRAWN.finditer(page, at):
-        closed = m["rest"].endswith("/")
-        if m["holder"]:
-            holders += 0 if closed else -1 if m["end"] and holders else 0 if m["end"] else 1
-        elif m["svg"]:
-            depth += 0 if closed else -1 if m["end"] else 1
-            if not depth:
-                return m.end()
-        elif not holders:
-            return m.start()
-    return at
-
-
-def _raw_end(page: str, m: re.Match, missing: set[str]) -> int:
-    """Where an element without text of its own ends, end tag included; ``missing`` gathers names with no further end tag."""
-    name, at = m["raw"].lower(), m.end()
+class Marks:
+    """Where tags and drawings of a page end. Whatever stays open is looked for once, so that a page is read in linear time."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.missing: set[str] = set()  # names with no further end tag
+        self.astray: set[int] = set()  # quotes from which no tag's end is reached
+        self.drawn: list[re.Match] | None = None
+
+    def tag_end(self, at: int) -> int:
+        """The place of a tag's closing bracket: the first outside quotes, or the first of all if its quotes don't close."""
+        tried, here = [], at
+        while (m := SPECIAL.search(self.page, here)) and m[0] != ">" and m.start() not in self.astray:
+            tried.append(m.start())
+            here = self.page.find(m[0], m.end()) + 1
+            if not here:
+                break
+        else:
+            if m and m[0] == ">":
+                return m.start()
+        self.astray.update(tried)
+        return self.page.find(">", at)
+
+    def drawing_end(self, at: int) -> int:
+        """Where a drawing ends whose start tag ends at ``at``: behind its end tag, or before the first element that can't stand in one."""
+        if self.drawn is None:
+            self._drawings()
+        k = bisect_left(self.starts, at)
+        svg, out = self.svg_end[k], self.out[k]
+        if svg < out:
+            return self.drawn[svg].end()
+        return self.drawn[out].start() if out < len(self.drawn) else at
+
+    def _drawings(self) -> None:
+        self.drawn = [m for m in DRAWN.finditer(self.page, 0, self.last + 1) if m["out"] or not m["rest"].endswith("/")]
+        self.starts, n = [m.start() for m in self.drawn], len(self.drawn)
+        # From each mark on: the one that ends an open drawing, an open element that may hold HTML, and the first that ends a drawing from without.
+        self.svg_end, holder_end, self.out = ([n] * (n + 2) for _ in range(3))
+
+        for k in range(n - 1, -1, -1):
+            m = self.drawn[k]
+            svg, holder, out = self.svg_end[k + 1], holder_end[k + 1], self.out[k + 1]
+            if m["svg"]:
+                svg = k if m["end"] else self.svg_end[svg + 1]
+            elif m["holder"]:
+                out = out if m["end"] else self.out[holder + 1]
+                holder = k if m["end"] else holder_end[holder + 1]
+            else:
+                out = k
+            self.svg_end[k], holder_end[k], self.out[k] = svg, holder, out
+
+
+def _open_value(own: str) -> bool:
+    """Whether a tag's text ends in a value without quotes, of which a slash at the end is a part."""
+    size = BARE.match(own[::-1]).end()
+    tail, head = own[len(own) - size :], own[: len(own) - size]
+    return "=" in tail[:-1] or bool(tail) and head.rstrip().endswith("=")
+
+
+def _raw_end(page: str, name: str, own: str, at: int, marks: Marks) -> int:
+    """Where an element without text of its own ends, end tag included, whose start tag says ``own`` and ends at ``at``."""
     if name == "head":
         while inside := IN_HEAD.match(page, at):
             at = inside.end()
         end = HEAD_END.match(page, at)
         return end.end() if end else at
-    if name not in ("script", "style") and m["own"].endswith("/") and not OPEN_VALUE.search(m["own"]):
+    if name not in ("script", "style") and own.endswith("/") and not _open_value(own):
         return at
     if name == "svg":
-        return _drawing_end(page, at)
-    end = None if name in missing else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
+        return marks.drawing_end(at)
+    end = None if name in marks.missing else re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
     if end:
         return end.end()
-    missing.add(name)
+    marks.missing.add(name)
     return len(page) if name in RAW else at
 
 
@@ -191,17 +231,25 @@ def blocks_of(page: str | None) -> list[Block]:
                 out.append(Block(stack.top(), text, linked / max(1, total)))
         pieces, linked, total = [], 0, 0
 
-    missing: set[str] = set()
-    while m := TAG.search(page, at):
+    marks, seek = Marks(page), 0
+    while m := START.search(page, seek):
+        if m[0] == "<!--":
+            close_at = page.find("-->", m.end())
+            end = len(page) if close_at < 0 else close_at + 3
+        elif m.start() > marks.last:  # no tag ends behind here; a comment may still begin
+            seek = m.end()
+            continue
+        else:
+            end = 1 + (page.find(">", m.end()) if m[0] in ("<!", "<?") else marks.tag_end(m.end()))
         if m.start() > at:
             pieces.append(page[at : m.start()])
             total += m.start() - at
             linked += m.start() - at if stack.open and stack.open[-1].links else 0
-        at = m.end()
-        name = m["name"] or m["name2"]
+        seek = at = end
+        rest, name = page[m.end() : end - 1], m["name"]
         if not name:
             if m["raw"]:
-                at = _raw_end(page, m, missing)
+                seek = at = _raw_end(page, m["raw"].lower(), rest, end, marks)
                 if m["raw"].lower() == "head":  # other elements without text may stand inside a block
                     close()
             continue
@@ -211,7 +259,7 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if name in BLOCKS:
             close()
-        if m["end"] or m["end2"]:
+        if m["end"]:
             k = stack.last(name)
             if k >= 0 and (name in (*BARRIERS, "html", "div") or k >= max(map(stack.last, BARRIERS))):
                 stack.cut(k)
@@ -220,7 +268,6 @@ def blocks_of(page: str | None) -> list[Block]:
                 stack.cut(open_p)
             if name in ("li", "option", "dt", "dd", "tr", "td", "th") and stack.open and stack.open[-1].tag == name:
                 stack.cut(len(stack.open) - 1)
-            rest = m["rest"] if m["name"] else m["rest2"]
             if not rest.endswith("/"):
                 stack.push(name, _names(name, rest))
     if at < len(page):
