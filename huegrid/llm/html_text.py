@@ -66,6 +66,7 @@ OTHER = frozenset(
 )
 PATH, WORDS, HIDDEN = 40, 32, 20
 INPUT = PATH + WORDS + 8
+CELLS = 16_384  # blocks that the network reads at once, padding counted
 
 
 class Element:
@@ -331,11 +332,11 @@ class Labeller:
         self.p["o"] = (random.normal(size=2 * HIDDEN) / np.sqrt(2 * HIDDEN)).astype(np.float32)
         self.p["d"] = np.zeros(1, np.float32)
 
-    def _run(self, x: np.ndarray, there: np.ndarray, side: str, keep: bool = False):
-        """x: time, page, input. there: time, page. Padding leaves the state as it is."""
+    def _run(self, x: np.ndarray, there: np.ndarray, side: str, keep: bool = False, carried: tuple | None = None):
+        """x: time, page, input. there: time, page. Padding leaves the state as it is; ``carried`` is where another stretch ended."""
         w, c = self.p["w" + side], self.p["c" + side]
         given = x @ w[:INPUT] + c
-        state = memory = np.zeros((x.shape[1], HIDDEN), np.float32)
+        state, memory = carried or (np.zeros((x.shape[1], HIDDEN), np.float32),) * 2
         out, trace = np.empty((*x.shape[:2], HIDDEN), np.float32), []
         for t in range(len(x)) if side == "f" else range(len(x) - 1, -1, -1):
             z = given[t] + state @ w[INPUT:]
@@ -349,12 +350,24 @@ class Labeller:
                 trace.append((t, z, state, memory, squashed))
             memory, state = new, np.where(m, o * squashed, state)
             out[t] = state
-        return out, trace
+        return out, trace, (state, memory)
 
     def logits(self, x: np.ndarray, there: np.ndarray) -> np.ndarray:
         forward, backward = self._run(x, there, "f")[0], self._run(x, there, "b")[0]
         return forward @ self.p["o"][:HIDDEN] + backward @ self.p["o"][HIDDEN:] + self.p["d"][0]
 
+    def scores(self, pages: list[np.ndarray]) -> np.ndarray:
+        """time, page. Long pages run in stretches of at most CELLS blocks, each from the state in which the one before ended."""
+        longest = max(map(len, pages))
+        z = np.full((longest, len(pages)), self.p["d"][0], np.float32)
+        stretches = list(slices(longest, max(1, CELLS // len(pages))))
+        for k, side in enumerate("fb"):
+            weight, carried = self.p["o"][k * HIDDEN : (k + 1) * HIDDEN], None
+            for part in stretches if side == "f" else stretches[::-1]:
+                out, _, carried = self._run(*padded([p[part] for p in pages]), side, carried=carried)
+                z[part] += out @ weight
+        return z
+
     def _gradients(self, x: np.ndarray, y: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
         runs = {s: self._run(x, there, s, keep=True) for s in "fb"}
         z = runs["f"][0] @ self.p["o"][:HIDDEN] + runs["b"][0] @ self.p["o"][HIDDEN:] + self.p["d"][0]
@@ -380,7 +393,7 @@ class Labeller:
             grads["w" + side], grads["c" + side] = dw, dc
         return grads
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 10, rate: float = 0.01, seed: int = 4) -> Labeller:
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, rate: float = 0.01, seed: int = 4) -> Labeller:
         random = np.random.default_rng(seed)
         first, second, step = {k: np.zeros_like(v) for k, v in self.p.items()}, {k: np.zeros_like(v) for k, v in self.p.items()}, 0
         pages = sorted((p for p in pages if len(p[0])), key=lambda p: len(p[0]))
@@ -402,12 +415,15 @@ class Labeller:
         return self
 
     def labels(self, pages: list[np.ndarray]) -> list[np.ndarray]:
-        """Whether each block is main text. Pages of like length run together."""
+        """Whether each block is main text. Pages of like length run together, at most CELLS blocks with their padding."""
         out: list[np.ndarray] = [np.empty(0, bool)] * len(pages)
-        order = sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i]))
-        for part in slices(len(order), 64):
-            some = order[part]
-            z = self.logits(*padded([pages[i] for i in some]))
+        groups: list[list[int]] = []
+        for i in sorted((i for i in range(len(pages)) if len(pages[i])), key=lambda i: len(pages[i])):
+            if not groups or len(pages[i]) * (len(groups[-1]) + 1) > CELLS:
+                groups.append([])
+            groups[-1].append(i)
+        for some in groups:
+            z = self.scores([pages[i] for i in some])
             for j, i in enumerate(some):
                 out[i] = z[: len(pages[i]), j] > 0
         return out
@@ -421,7 +437,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, there
 
 
-ROOTS = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post"), ("div", ".entry", ".content"), ("div", ".main"), ("section",), ("div", "section", ".article", ".body"), ("div", ".story"), ("div",)]
+ROOTS = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post"), ("div", ".entry", ".content"), ("div", ".main"), ("section",), ("div", "section", ".article", ".body"), ("div", ".story"), ("div",), ("table", "tr", "td")]
 LEAVES = [("ul", "li"), ("ol", "li"), ("blockquote", "p"), ("h2",), ("h3",), ("pre",), ("table", "tr", "td"), ("figure", "figcaption"), ("div",), ("section", "p")]
 BEFORE = [("nav", "ul", "li", "a"), ("header", "div"), ("header", "p"), ("div", ".ad"), ("div", ".cookie", ".notice", "p"), ("div", ".menu", "a"), ("div", ".banner"), ("ul", ".breadcrumb", "li", "a"), ("div", ".header", "h1"), ("form", "label")]
 AFTER = [
@@ -441,6 +457,25 @@ AFTER = [
     ("div", ".share", "a"),
     ("div", ".advert", "p"),
 ]
+#: What stands around the main text where a page is laid out by a table.
+CELLS_BEFORE = [("table", "tr", "td", ".menu", "a"), ("table", "tr", "td", ".header"), ("table", "tr", "td", ".sidebar", "li", "a"), ("table", "tr", "td", ".ad")]
+CELLS_AFTER = [("table", "tr", "td", ".footer"), ("table", "tr", "td", ".footer", "p"), ("table", "tr", "td", ".sidebar", "a"), ("table", "tr", "td", ".related", "a")]
+#: What stands inside the element of the main text without belonging to it: in front, and behind.
+HEAD_OF_ROOT = [("div", ".notice", "p"), ("ul", ".breadcrumb", "li", "a"), ("nav", "li", "a"), ("div", ".share", "a"), ("div", ".ad")]
+INSIDE = 0.3  # share of the variants that have such a tail
+TAIL_OF_ROOT = [
+    [("section", ".comments", "h2"), ("section", ".comments", "div", ".comment", "p")],
+    [("div", ".comments", "h3"), ("div", ".comments", "div", ".comment", "p")],
+    [("div", ".comments", "ul", "li", "p")],
+    [("section", ".comments", "article", ".comment", "p")],
+    [("div", ".comments", "article", ".comment", "p")],
+    [("section", ".comments", "h2"), ("section", ".comments", "ol", "li", "article", ".comment", "p")],
+    [("article", ".comment", "p")],
+    [("section", ".comments", "h2"), ("section", ".comments", "form", "label"), ("section", ".comments", "form", "button")],
+    [("div", ".related", "h3"), ("div", ".related", "li", "a")],
+    [("div", ".newsletter", "p"), ("form", "button")],
+    [("footer", "p"), ("div", ".share", "a")],
+]
 
 
 def variant(blocks: list[Block], others: list[str], random: np.random.Generator) -> tuple[list[Block], list[int]]:
@@ -448,10 +483,10 @@ def variant(blocks: list[Block], others: list[str], random: np.random.Generator)
     root = ROOTS[random.integers(len(ROOTS))]
     main = [b for b in blocks if markup_label(b)]
 
-    def other(path: tuple[str, ...], inside: tuple[str, ...] = ()) -> Block:
+    def other(path: tuple[str, ...], inside: tuple[str, ...] = (), most: int = 60) -> Block:
         words = others[random.integers(len(others))].split() if others else ["x"]
         link = path[-1] == "a"
-        size = random.integers(1, 4) if link or path[-1] in ("label", "button") else random.integers(3, 60)
+        size = most if most < 60 else random.integers(1, 4) if link or path[-1] in ("label", "button") else random.integers(3, 60)
         return block(("html", "body", *inside, *path), " ".join(words[:size]), 1.0 if link else 0.0)
 
     def some(paths: list, most: int) -> list[Block]:
@@ -461,7 +496,11 @@ def variant(blocks: list[Block], others: list[str], random: np.random.Generator)
             out.extend(other(path) for _ in range(random.integers(1, 6)))
         return out
 
-    made, labels = some(BEFORE, 3), []
+    table = root[0] == "table"
+    made, labels = some(CELLS_BEFORE if table else BEFORE, 3), []
+    if random.random() < 0.15:
+        path = HEAD_OF_ROOT[random.integers(len(HEAD_OF_ROOT))]
+        made.extend(other(path, root) for _ in range(random.integers(1, 4)))
     labels = [0] * len(made)
     for b in main:
         if random.random() < 0.06:
@@ -476,11 +515,16 @@ def variant(blocks: list[Block], others: list[str], random: np.random.Generator)
             text = " ".join(text.split()[: random.integers(2, 14)])
         made.append(block(("html", "body", *root, *leaf), text, b.links))
         labels.append(1)
-    tail = some(AFTER, 4)
+    tail = []
+    if random.random() < INSIDE:
+        first, *rest = TAIL_OF_ROOT[random.integers(len(TAIL_OF_ROOT))]
+        tail.append(other(first, root, random.integers(1, 4) if rest else 60))
+        tail.extend(other(path, root) for path in rest or [first] for _ in range(random.integers(1, 8)))
+    tail += some(CELLS_AFTER if table else AFTER, 4)
     return made + tail, labels + [0] * len(tail)
 
 
-def train(pages: list[str | None], variants: int = 5, longest: int = 150, seed: int = 9) -> Labeller:
+def train(pages: list[str | None], variants: int = 8, longest: int = 150, seed: int = 9) -> Labeller:
     random = np.random.default_rng(seed)
     read = [b for b in map(blocks_of, pages) if b]
     others = [b.text for page in read for b in page]

@@ -1,15 +1,18 @@
-"""The operators 11 to 13 and items that most documents hold, against plain versions and odd rows."""
+"""The operators 11 to 13, items that most documents hold, hostile and commented pages, against plain versions and odd rows."""
 
 import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
-from huegrid.llm import alignment, decontamination, merkle, quality_rules
+from huegrid.llm import alignment, decontamination, html_text, merkle, quality_rules
 from huegrid.llm.packing import _byte_of
 
 ODD = [None, "", " ", "  ", "a", "a ", "  a  b ", "\n\n a\n", "x▁y", "<|endoftext|> a </s><s> <unk>", "naïve 日本語のテキスト 🙂🙂", "=" * 600, "\x1c b\x85 c d", "don't  can't\t\tx", "é" * 50, "ab " * 3, "1234567890" * 7, "<0x0A>\n\n\n   \t  z"]
@@ -254,3 +257,72 @@ def test_a_candidate_of_a_megabyte_is_read_in_no_time(body):
     secrets.weak_label(body, "token = ")
     secrets.candidates("token = " + body)
     assert time.process_time() - began < 10
+
+
+# ---- op2: long and hostile pages, comments inside articles ------------------------
+
+
+@pytest.fixture(scope="module")
+def labeller():
+    pages = pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist()
+    return html_text.train(pages[:200])
+
+
+@pytest.mark.parametrize("piece", ["<div x='", '<a "', '<a ">"', "<svg><g>", "<svg><desc>", "<b ", "<!", "<head><meta ", "<iframe =="])
+def test_unclosed_tags_are_read_in_linear_time(piece):
+    def seconds(n: int) -> float:
+        start = time.perf_counter()
+        html_text.blocks_of(piece * n)
+        return time.perf_counter() - start
+
+    assert min(seconds(20_000) for _ in range(2)) < 5  # quadratic reading took over 100 s
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p class='a>b'>one</p>two", ["one", "two"]),
+        ("<p class='a>one</p>two", ["one", "two"]),
+        ("<p>a<svg><g><text>no</text></g></svg>b</p>", ["ab"]),
+        ("<p>a<svg><g>no<p>b", ["a", "b"]),
+        ("<svg><svg></svg><p>x", ["x"]),
+        ("<p>a < b and <x", ["a < b and <x"]),
+        ("<p>a<!-- > <p>no", ["a"]),
+    ],
+)
+def test_tags_and_drawings_end_where_they_should(page, text):
+    assert [b.text for b in html_text.blocks_of(page)] == text
+
+
+def test_stretches_give_the_scores_of_whole_pages(labeller, monkeypatch):
+    random = np.random.default_rng(2)
+    pages = [random.normal(size=(n, html_text.INPUT)).astype(np.float32) for n in (3, 50, 50, 700)]
+    whole = labeller.logits(*html_text.padded(pages))
+    there = html_text.padded(pages)[1]
+    want = labeller.labels(pages)
+    monkeypatch.setattr(html_text, "CELLS", 90)
+    assert np.allclose(labeller.scores(pages)[there], whole[there], atol=1e-4)
+    assert all((a == b).all() for a, b in zip(labeller.labels(pages), want, strict=True))
+
+
+def test_one_long_page_does_not_widen_the_others(labeller):
+    pages = [np.zeros((n, html_text.INPUT), np.float32) for n in (12_500, *[20] * 63)]
+    tracemalloc.start()
+    labeller.labels(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+
+
+def test_comments_inside_an_article_go_and_the_text_stays(labeller):
+    story = ["Rain over the hills", "Long clouds came in from the western sea and the town was wet by noon, said the keeper of the mill.", "The river rose by two metres. No one was hurt."]
+    remarks = [
+        "<section class='comments'><h2>Comments</h2><div class='comment'><p>Nice piece, thank you for writing it!</p></div><div class='comment'><p>I saw it from my window.</p></div></section>",
+        "<div class='comments'><h3>2 comments</h3><ul><li><p>Nice piece.</p></li><li><p>I saw it from my window and it was not that bad at all.</p></li></ul></div>",
+        "<section class='comments'><article class='comment'><p>Nice piece.</p></article></section>",
+        "<div class='newsletter'><p>Sign up for our letters</p></div><form><label>Your name</label><button>Send</button></form>",
+    ]
+    main = f"<h1>{story[0]}</h1>" + "".join(f"<p>{t}</p>" for t in story[1:])
+    pages = [f"<html><body><nav><a>Home</a></nav><{root}>{main}{r}</{root.split()[0]}><footer>All rights reserved</footer></body></html>" for root in ("article", "main", "div class='content'") for r in remarks]
+    table = f"<html><body><table><tr><td class='menu'><a>News</a> <a>Sport</a></td><td>{main}</td></tr><tr><td class='footer'>All rights reserved</td></tr></table></body></html>"
+    assert html_text.main_texts([*pages, table], labeller) == ["\n\n".join(story)] * (len(pages) + 1)
