@@ -130,6 +130,26 @@ def test_intervals_meet_their_points_without_a_nested_loop(spark):
         intervals.annotated(points, points, "x", "x", "x", 1.0)
 
 
+def test_intervals_of_all_lengths_meet_each_point_once_and_are_not_broadcast(spark):
+    """Interval ends on the borders of cells and buckets, several rows of intervals in one place, copies, and no table sent whole to every task."""
+    import numpy as np
+
+    from huegrid.operators import intervals
+
+    random = np.random.default_rng(5)
+    xs = [*random.uniform(-300, 300, 80).tolist(), *(float(k) for k in range(-64, 65, 4)), 0.0, 0.0]
+    low = [*random.integers(-300, 300, 150).tolist(), *range(-64, 64, 4), *[8] * 2100, -32]
+    spans = [(k, float(a), float(a + (k * k) % 97 if k < 190 else a + 9)) for k, a in enumerate(low)] + [(-1, -1e4, 1e4), (-2, 16.0, 32.0), (-2, 16.0, 32.0)]
+    want = sorted((i, n) for i, x in enumerate(xs) for n, a, b in spans if a <= x <= b)
+    points = spark.createDataFrame(list(enumerate(xs)), "id int, x double")
+    found = intervals.annotated(points, spark.createDataFrame(spans, "n int, lower double, upper double"), "x", "lower", "upper", 64.0)
+    rows = found.collect()
+    assert found.columns == ["id", "x", "n", "lower", "upper"] and sorted((r.id, r.n) for r in rows) == want
+    assert all(r.lower <= r.x <= r.upper for r in rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_assignment_is_exact_and_takes_the_smallest_of_equals():
     import itertools
 
