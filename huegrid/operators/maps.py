@@ -1,18 +1,22 @@
 """Statistics of label maps: sample_id, pixel_row, pixel_col, label. A missing row is background.
 
-Neighbours are found by shifted coordinates: counts in windows by running counts along rows, pairs by equi joins in which
-each pixel is sent to half of its window. Boundaries of several maps are compared in ``reproducibility``.
+Neighbours are found by shifted coordinates: counts in windows inside blocks of the image with their rims, pairs by equi joins in
+which each pixel is sent to half of its window. Boundaries of several maps are compared in ``reproducibility``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 PIXEL = ["sample_id", "pixel_row", "pixel_col"]
+BLOCK = 128  # pixels along one side of a block; a wider window takes its own width
 
 
 def _exact(c: str | Column) -> Column:
@@ -39,23 +43,43 @@ def neighbour_pairs(labels: DataFrame, width: int) -> DataFrame:
     return labels.join(moved, PIXEL).select("sample_id", "label", "other")
 
 
-def window_counts(labels: DataFrame, width: int) -> DataFrame:
-    """sample_id, others, alike: for each pixel, the other pixels within its window and those of its label.
+def _around(keys: np.ndarray, at: np.ndarray, span: int, r: int) -> np.ndarray:
+    """How many keys (row * span + column) are within r rows and columns of each place, without those at the place itself."""
+    keys = np.sort(keys)
+    upto = lambda k, side: np.searchsorted(keys, k, side)
+    total = upto(at, "left") - upto(at, "right")
+    for d in range(-r, r + 1):
+        total += upto(at + d * span + r, "right") - upto(at + d * span - r, "left")
+    return total
 
-    Each pixel is sent to the ``width`` rows whose windows reach it, in one shuffle by row; along a row, counts up to the
-    window's right end less those up to its left end are running counts, whose cost doesn't grow with the window. A null label
-    is like no other, a pixel with a null coordinate is left out, copies at one place are no neighbours of each other."""
-    r = width // 2
-    moved = labels.dropna(subset=PIXEL).select(*PIXEL, "label", F.explode(F.array(*map(F.lit, range(-r, r + 1)))).alias("dr"))
-    moved = moved.select("sample_id", (F.col("pixel_row").cast("long") + F.col("dr")).alias("row"), F.col("pixel_col").cast("long").alias("col"), "label", (F.col("dr") == 0).alias("own"))
-    moved = moved.repartition("sample_id", "row")
 
-    def around(*by: str) -> Column:
-        along = W.partitionBy("sample_id", "row", *by).orderBy("col")
-        upto = [F.count(F.lit(1)).over(along.rangeBetween(W.unboundedPreceding, end)) for end in (r, -r - 1)]
-        return upto[0] - upto[1] - F.count_if("own").over(along.rangeBetween(W.currentRow, W.currentRow))
+def window_counts(labels: DataFrame, width: int) -> DataFrame:
+    """sample_id, others, alike: for each pixel, the other pixels within its window and those of its label.
 
-    return moved.withColumn("others", around()).withColumn("alike", F.when(F.col("label").isNotNull(), around("label")).otherwise(0)).where("own").select("sample_id", "others", "alike")
+    Each pixel is sent to the block of the image that owns it, and to a neighbouring one where a window reaches it, in one shuffle
+    and one sort; inside a block, a row of a window is a range of the sorted places, of all pixels and of those of one label. A
+    null label is like no other, a pixel with a null coordinate is left out, copies at one place are no neighbours of each other."""
+    r, block = width // 2, max(BLOCK, width)
+    reached = lambda c: F.explode(F.sequence(F.floor((F.col(c) - r) / block), F.floor((F.col(c) + r) / block)))
+    kind = "long" if isinstance(labels.schema["label"].dataType, IntegralType) else "string"
+    known = F.col("label").isNotNull().alias("known")
+    label = F.coalesce(F.col("label").cast(kind), F.lit(0).cast(kind)).alias("label")
+    rows = labels.dropna(subset=PIXEL).select("sample_id", *(F.col(c).cast("long").alias(c) for c in PIXEL[1:]), label, known)
+    rows = rows.withColumn("block_row", reached("pixel_row")).withColumn("block_col", reached("pixel_col"))
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        row, col = (group[c].to_numpy() for c in PIXEL[1:])
+        own = (row // block == group["block_row"].to_numpy()) & (col // block == group["block_col"].to_numpy())
+        row, col = row - row.min() + r, col - col.min() + r
+        span, area = int(col.max()) + r + 1, (int(row.max()) + r + 1) * (int(col.max()) + r + 1)
+        place, known = row * span + col, group["known"].to_numpy()
+        others, alike = _around(place, place[own], span, r), np.zeros(own.sum(), np.int64)
+        named = pd.factorize(group["label"])[0].astype(np.int64) * area + place
+        alike[known[own]] = _around(named[known], named[own & known], span, r)
+        return pd.DataFrame({"sample_id": pd.Series([group["sample_id"].iloc[0]] * len(others), dtype=object), "others": others, "alike": alike})
+
+    schema = f"sample_id {labels.schema['sample_id'].dataType.simpleString()}, others long, alike long"
+    return rows.groupBy("sample_id", "block_row", "block_col").applyInPandas(count, schema)
 
 
 def occupancy(labels: DataFrame) -> DataFrame:

@@ -105,3 +105,15 @@ def test_window_counts_are_twice_the_pairs_that_meet(spark, width):
             want[r.sample_id][1] += 2 * (r.label is not None and r.label == r.other)
         assert got == {s: tuple(v) for s, v in want.items()}
     assert M.window_counts(labels.limit(0), width).count() == 0
+
+
+def test_window_counts_send_a_pixel_to_its_block_and_not_to_every_row_of_a_window(spark):
+    """Blocks on both sides of their borders, negative places, a window wider than a block, labels that are no numbers."""
+    rows = [(1, a, b, "xyz"[(a * b + a) % 3]) for a in (*range(-3, 4), *range(125, 131), 300) for b in (-129, -128, -127, -1, 0, 1, 127, 128, 129, 255, 257)]
+    labels = spark.createDataFrame(rows, "sample_id long, pixel_row long, pixel_col long, label string")
+    for width in (9, 301):
+        found = M.window_counts(labels, width)
+        want = M.neighbour_pairs(labels, width).selectExpr("2 * count(*)", "2 * count_if(label = other)").first()
+        assert found.count() == len(rows) and found.selectExpr("sum(others)", "sum(alike)").first() == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort ") <= 2  # initial and final plan: one sort by block, not two of each row of a window
