@@ -268,6 +268,49 @@ def test_a_repeated_document_is_likelier_than_its_words(spark):
     assert min(twice) > np.quantile(once, 0.9)
 
 
+def test_scores_do_not_depend_on_how_rows_and_words_are_dealt(spark):
+    """Totals of restaurants come from all words at each sweep, not from a slot's share: 1 or 13 partitions, equal scores."""
+    texts = [filler(k % 90, 5) for k in range(120)] + [None, ""]
+    table = docs(spark, *texts, first=0)
+    few, many = ({r.doc_id: r for r in pitman_yor.score(table.repartition(n)).collect()} for n in (1, 13))
+    assert few == many
+
+
+def test_a_slot_among_others_seats_as_if_it_were_the_only_one():
+    """All sweeps over three slots with their totals added up against the same sweeps over one slot of all words."""
+    import pandas as pd
+
+    random = np.random.default_rng(8)
+    texts = [" ".join(random.choice([f"w{i}" for i in range(12)], 40)) + " " + filler(k % 40, 2) for k in range(60)]
+    model, at = pitman_yor.Model(), {}
+    for slots in (1, 3):
+        requests = pd.concat([b.to_pandas() for b in pitman_yor._request(0, texts, [True] * 60, slots)])
+        opened = {s: model.opened(g) for s, g in requests.groupby("slot")}
+        last, kept = dict(opened), {}
+        for k in range(model.sweeps):
+            ends = pd.concat(list(last.values())).query("part < 0").groupby("part").totals.apply(lambda t: np.sum(list(t), axis=0))
+            totals = np.concatenate([ends[x] for x in sorted(ends.index, reverse=True)])
+            last = {s: model.seated(pd.concat([opened[s], last[s]] if k else [opened[s]]).query("part == 0"), k, totals) for s in opened}
+        for s in opened:
+            words, word, context, count = pitman_yor._pairs(opened[s].query("part == 0"))
+            t = pitman_yor._unpacked(list(last[s].query("part == 0").t), np.uint32)[0]
+            kept |= {(int(words[w]), int(g)): (int(c), int(n)) for w, g, c, n in zip(word, context, count, t, strict=True)}
+        at[slots] = kept
+    assert at[1] == at[3] and any(c > n > 1 for c, n in at[1].values())
+
+
+def test_draws_by_hash_follow_their_distributions():
+    keys = np.arange(20_000, dtype=np.uint64)
+    draws, random = pitman_yor.Draws(keys, 17, 0), np.random.default_rng(2)
+    u = draws.random(len(keys))
+    assert 0 < u.min() and u.max() < 1 and np.quantile(u, [0.1, 0.5, 0.9]) == pytest.approx([0.1, 0.5, 0.9], abs=0.02)
+    for n, chance in ((2, 0.4), (30, 0.9), (500, 0.01)):
+        got, want = draws.binomial(np.full(len(keys), n), np.full(len(keys), chance)), random.binomial(n, chance, len(keys))
+        assert got.mean() == pytest.approx(n * chance, abs=0.05 + 0.01 * n * chance) and got.std() == pytest.approx(want.std(), rel=0.05) and got.max() <= n
+    customers = np.full(3000, 5000)
+    assert pitman_yor.seat(customers, np.full(3000, 0.5), 0.8, pitman_yor.Draws(keys[:3000], 1, 1)).mean() == pytest.approx(pitman_yor.seat(customers, np.full(3000, 0.5), 0.8, random).mean(), rel=0.03)
+
+
 def test_seatings_stay_between_bounds():
     random = np.random.default_rng(1)
     customers = np.sort(np.r_[np.ones(50, np.int64), random.integers(2, 5000, 200)])[::-1]
