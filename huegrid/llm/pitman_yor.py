@@ -52,14 +52,14 @@ SEATED = "slot int, sweep int, part long, words binary, sizes binary, contexts b
 def _packed(x: np.ndarray) -> bytes:
     import zstandard
 
-    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.T).tobytes(), 1)  # the sweeps of a pair side by side, as they are much alike
 
 
 def _unpacked(data: list[bytes], kind: type, rows: int = 1) -> np.ndarray:
-    """One array after the other, each of ``rows`` rows."""
+    """One array after the other, each of ``rows`` rows that were packed side by side."""
     import zstandard
 
-    return np.concatenate([np.frombuffer(zstandard.decompress(x), kind).reshape(rows, -1) for x in data], axis=1)
+    return np.ascontiguousarray(np.concatenate([np.frombuffer(zstandard.decompress(x), kind).reshape(-1, rows) for x in data]).T)
 
 
 class Pairs:
