@@ -150,6 +150,41 @@ def test_intervals_of_all_lengths_meet_each_point_once_and_are_not_broadcast(spa
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_points_and_intervals_are_shuffled_once_and_crowded_buckets_dealt_out(spark, monkeypatch):
+    """One shuffle a side, also for a bucket that holds most rows of both sides, which several tasks share; empty sides give no rows."""
+    from pyspark.sql import functions as F
+
+    from huegrid.operators import intervals
+
+    monkeypatch.setattr(intervals, "SHARE", 64, raising=False)
+    monkeypatch.setattr(intervals, "RUN", 8)
+    random = np.random.default_rng(6)
+    xs = [*random.uniform(0, 400, 150).tolist(), *[100.0] * 250, *random.uniform(96, 104, 50).tolist()]
+    low = [*random.integers(0, 400, 100).tolist(), *[90] * 200]
+    spans = [(k, float(a), float(a + (k * 37) % 120)) for k, a in enumerate(low)]
+    points = spark.createDataFrame(list(enumerate(xs)), "id int, x double")
+    ranges = spark.createDataFrame(spans, "n int, lower double, upper double")
+    found = intervals.annotated(points, ranges, "x", "lower", "upper", 64.0)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 2
+    assert sorted((r.id, r.n) for r in found.collect()) == sorted((i, n) for i, x in enumerate(xs) for n, a, b in spans if a <= x <= b)
+    assert found.where("x = 100.0").select(F.spark_partition_id()).distinct().count() > 1
+    for some, others in ((points.limit(0), ranges), (points, ranges.limit(0))):
+        assert intervals.annotated(some, others, "x", "lower", "upper", 64.0).count() == 0
+
+
+def test_pairs_of_points_and_intervals_are_written_in_few_bytes(spark, tmp_path):
+    """The points of a run follow each other for each interval that holds them, which files write as repeats."""
+    from huegrid.operators import intervals
+
+    random = np.random.default_rng(7)
+    points = spark.createDataFrame([(k, float(x)) for k, x in enumerate(random.uniform(0, 1024, 8192))], "id long, x double")
+    spans = spark.createDataFrame([(k, float(a), float(a + n)) for k, (a, n) in enumerate(random.integers((0, 10), (1000, 500), (2000, 2)))], "n long, lower double, upper double")
+    intervals.annotated(points, spans, "x", "lower", "upper", 256.0).select("id", "n").write.parquet(str(tmp_path / "pairs"))
+    rows = spark.read.parquet(str(tmp_path / "pairs")).count()
+    assert rows > 3_000_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.25 * rows
+
+
 def test_assignment_is_exact_and_takes_the_smallest_of_equals():
     import itertools
 
